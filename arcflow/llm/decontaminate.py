@@ -22,7 +22,6 @@ several items count for each of them; a null item_id is ignored; an empty benchm
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, per_batch
 
 WINDOW = 8
 #: Fewest different items with an occurring window that make a document contaminated.
@@ -337,5 +336,13 @@ def remove_spans(text: str, spans: list[list[int]]) -> str:
     return b"".join([*out, data[last:]]).decode()
 
 
-def text_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+def cut_spans(found: DataFrame, text: F.Column) -> DataFrame:
+    """found (with `spans`) and cut_text: text without the spans, null where it is null."""
+    names = found.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cut = [remove_spans(t, s) if t and s else t for t, s in zip(batch.column("__text").to_pylist(), batch.column("spans").to_pylist())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cut, pa.string())], [*names, "cut_text"])
+
+    return found.withColumn("__text", text.cast("string")).mapInArrow(per_batch(lambda: work), f"{fields}, cut_text string")

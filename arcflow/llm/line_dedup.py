@@ -269,13 +269,12 @@ class LineStore:
         lost = may.join(self.shared, "key").where("doc_id <> first_doc")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    def apply(self, docs: DataFrame, text: str = "text", known: bool = True) -> DataFrame:
-        """docs with `kept_text`, n_lines and n_dropped. known: the documents are those of the store."""
+    def apply(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", known: bool = True) -> DataFrame:
+        """`keep`, n_lines, n_dropped and kept_text. known: the documents are those of the store."""
         drops = self.drops(None if known else line_refs(docs, text))
-        names = docs.columns
-        held = docs.withColumn("__text", docs[text].cast("string")).withColumn("__id", F.col("doc_id").cast("long"))
+        held = docs.select(*keep, docs[text].cast("string").alias("__text"), docs["doc_id"].cast("long").alias("__id"))
         joined = held.join(drops.withColumnsRenamed({"doc_id": "__doc", "keys": "__keys"}), F.col("__id") == F.col("__doc"), "left")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint, kept_text string"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_lines bigint, n_dropped bigint, kept_text string"
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_lines, n_dropped, kept = [], [], []
@@ -289,9 +288,9 @@ class LineStore:
                 n_dropped.append(len(lines) - len(stay))
                 kept.append(b"\n".join(stay))
             text_out = pa.array(kept, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), text_out], [*names, "n_lines", "n_dropped", "kept_text"])
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), text_out], [*keep, "n_lines", "n_dropped", "kept_text"])
 
-        return joined.select(*names, "__text", "__keys").mapInArrow(per_batch(lambda: work), schema)
+        return joined.select(*keep, "__text", "__keys").mapInArrow(per_batch(lambda: work), schema)
 
     def discard(self) -> None:
         delete_path(self.spark, self.path)
