@@ -1,11 +1,82 @@
-"""The corpus pipeline (filled in stage by stage)."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's rows as Parquet to the shared
+folder and rereads them. All stages but the last return the columns of documents. A row travels as one struct beside
+the columns that an operator reads, so extra columns of any name pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arcflow.llm import bpe, decontaminate, line_dedup, quality, simhash
+from arcflow.llm.common import materialize, small_batches, table
+from arcflow.llm.queries import word_bpe
+
+#: The stages are iterative and learn from their input; run() is tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *columns)
+
+
+def with_text(found: DataFrame, docs: DataFrame, text: F.Column) -> DataFrame:
+    """The rows with a new text; n_chars follows it."""
+    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return found.select(*(new.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    small_batches(spark)
+    judged = quality.judge(rows_of(docs, "text", "lang"), quality.references(docs), keep=("row",))
+    return judged.where("kept").select("row.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines; a document of which no line is left goes."""
+    small_batches(spark)
+    store = line_dedup.LineStore.build(docs.select("doc_id", "text"))
+    kept = store.apply(rows_of(docs, "doc_id", "text"), keep=("row",))
+    return with_text(kept.where("n_dropped < n_lines"), docs, F.col("kept_text"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    small_batches(spark)
+    found = simhash.cluster(rows_of(docs, "doc_id", "text"), keep=("doc_id", "row"))
+    return found.where("doc_id <=> component_id").select("row.*")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated; the spans of a single benchmark item are cut out of their document."""
+    small_batches(spark)
+    found = decontaminate.decontaminate(rows_of(docs, "text"), table(spark, sf_dir, "benchmark"), keep=("row",))
+    clean = decontaminate.cut_spans(found.where("not contaminated"), F.col("row")["text"])
+    return with_text(clean, docs, F.col("cut_text"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    small_batches(spark)
+    found = bpe.encode_decode(rows_of(docs, "text"), word_bpe(), keep=("row",), whole=True)
+    own = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *own)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
