@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, simhash
+from . import bpe, decontaminate, line_dedup, quality, simhash, url_filter, warc
 from .common import small_batches, table
 
 
@@ -20,6 +20,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    bundles = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,6 +43,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,9 +55,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
 }
@@ -67,6 +79,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM judged GROUP BY doc_id
 """
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), q AS (
+  SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest, n >= 100) ELSE page_id END AS first FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -91,6 +115,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
 }
