@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, quality, simhash, url_filter, warc
 from .common import small_batches, table
 
 
@@ -26,6 +26,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = docs.withColumn("held_out", language_id.held_out(docs["doc_id"]))
+    return language_id.predict(rows, language_id.fit(docs), keep=("doc_id", "held_out"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -56,6 +63,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
