@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, quality, simhash, url_filter, warc
+from . import bpe, decontaminate, html_tree, language_id, line_dedup, quality, simhash, url_filter, warc
 from .common import small_batches, table
 
 
@@ -54,6 +54,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_tree.extract(pages, html_tree.fit(pages))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
+    "op7_html_tree": op7_html_tree,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
 }
