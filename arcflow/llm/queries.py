@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_tree, language_id, line_dedup, quality, simhash, url_filter, warc
+from . import bpe, context_mixing, decontaminate, html_tree, language_id, line_dedup, quality, simhash, url_filter, warc
 from .common import small_batches, table
 
 
@@ -67,6 +67,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 2048)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return context_mixing.score_docs(docs.withColumn("held_out", context_mixing.held_out(docs["doc_id"])))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -77,6 +83,7 @@ QUERIES = {
     "op7_html_tree": op7_html_tree,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 #: Keys are text here, digests in the operator.
