@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,12 +28,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_batch
-
 #: Parts from which on a word's merges are kept in a heap.
 HEAP_FROM = 64
 #: Chunks in one generation of the cache of a Python worker.
-CACHE = 150_000
+CACHE = 200_000
 NO_RANK = 1 << 60
 
 
@@ -63,10 +62,12 @@ class RankArrayBPE:
         letters = byte_alphabet()
         self.inner = [vocab.get(c) for c in letters]
         self.final = [vocab.get(c + suffix) for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         splits = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.usual = regex.compile(splits).findall
         newer = f"[{unknown_letters()}]"
@@ -76,9 +77,17 @@ class RankArrayBPE:
         self.unusual = regex.compile(splits, regex.VERSION1).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.markers = tuple(self.special)
-        self.words: dict[str, list[int]] = {}
+        ids = sorted(self.names)
+        self.id_bytes = {i: i.to_bytes(4, "little") for i in ids}
+        self.name_bytes = {i: f"{self.names[i]} ".encode() for i in ids}
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty the caches: of chunks of text and of words, each in two generations."""
         self.new: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.new_words: dict[str, tuple[bytes, bytes]] = {}
+        self.old_words: dict[str, tuple[bytes, bytes]] = {}
 
     # -- merging ---------------------------------------------------------------------------------
     def merge_word(self, word: bytes) -> list[int]:
@@ -90,40 +99,39 @@ class RankArrayBPE:
         return self._scan(parts) if len(parts) < HEAP_FROM else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        merges = self.merges
-        none = (NO_RANK, 0)
-        ranks = [merges.get(p, none)[0] for p in zip(parts, parts[1:])]
+        ranks = [self.ranks.get(p, NO_RANK) for p in zip(parts, parts[1:])]
+        get = self.ranks.get
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             i = ranks.index(least)
-            parts[i] = merges[parts[i], parts[i + 1]][1]
+            token = parts[i] = self.merged[least]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = merges.get((parts[i], parts[i + 1]), none)[0]
+                ranks[i] = get((token, parts[i + 1]), NO_RANK)
             if i:
-                ranks[i - 1] = merges.get((parts[i - 1], parts[i]), none)[0]
+                ranks[i - 1] = get((parts[i - 1], token), NO_RANK)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        merges, n = self.merges, len(parts)
+        ranks, n = self.ranks, len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := merges.get((parts[i], parts[i + 1])))]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = merges[a, b][1], -1
+            parts[i], parts[j] = self.merged[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
                 right = after[left] if left >= 0 else -1
-                if right >= 0 and (m := merges.get((parts[left], parts[right]))):
-                    heapq.heappush(heap, (m[0], left, parts[left], parts[right]))
+                if right >= 0 and (r := ranks.get((parts[left], parts[right]))) is not None:
+                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
     def pieces(self, chunk: str) -> list[str]:
@@ -134,21 +142,27 @@ class RankArrayBPE:
         chunk = unicodedata.normalize("NFC", chunk)
         return chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
 
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids (little-endian) and token strings (UTF-8, each followed by a space) of a word."""
+        found = self.new_words.get(word) or self.old_words.get(word)
+        if found is None:
+            ids = self.merge_word(word.encode())
+            found = b"".join(map(self.id_bytes.__getitem__, ids)), b"".join(map(self.name_bytes.__getitem__, ids))
+        if len(word) < 64:
+            if len(self.new_words) >= CACHE:
+                self.old_words, self.new_words = self.new_words, {}
+            self.new_words[word] = found
+        return found
+
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids (little-endian) and token strings (UTF-8, each followed by a space) of text without white space."""
+        """The same of text without white space."""
         found = self.old.get(chunk)
         if found is None:
-            ids: list[int] = []
-            for piece in self.pieces(self.normalize(chunk)):
-                word = self.words.get(piece)
-                if word is None:
-                    word = self.merge_word(piece.encode())
-                    if len(piece) < 64:
-                        if len(self.words) >= CACHE:
-                            self.words.clear()
-                        self.words[piece] = word
-                ids += word
-            found = np.array(ids, "<u4").tobytes(), "".join(self.names[i] + " " for i in ids).encode()
+            if chunk.isascii() and chunk.isalpha():
+                found = self._word(chunk.lower())
+            else:
+                words = [self._word(w) for w in self.pieces(self.normalize(chunk))]
+                found = words[0] if len(words) == 1 else (b"".join([w[0] for w in words]), b"".join([w[1] for w in words]))
         if len(chunk) < 64:
             if len(self.new) >= CACHE:
                 self.old, self.new = self.new, {}
@@ -199,7 +213,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -221,6 +235,9 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 names += ["ids", "decoded"]
             return pa.RecordBatch.from_arrays(out, names)
 
-        return work
+        for batch in batches:
+            if batch.num_rows:
+                yield work(batch)
+        model.clear()  # workers are used again
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(per_batch(make), schema)
+    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
