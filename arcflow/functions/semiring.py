@@ -240,7 +240,7 @@ def parse_weight(text: Column, s: Semiring) -> Column:
 def code_points(text: Column) -> Column:
     """The Unicode code points of a text, as labels."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(letters, lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint"))
+    return F.transform(letters, lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint"))
 
 
 def quantize(w: Column, mode: str, low: float, high: float, levels: int) -> Column:

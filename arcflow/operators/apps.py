@@ -89,15 +89,15 @@ def spell_check(lexicon: DataFrame, word: str, targets: DataFrame, target: str,
 
 
 # -- rules ---------------------------------------------------------------------------------------
-def apply_rules(words: Fst, rules: list[Fst]) -> Fst:
+def apply_rules(words: Fst, rules: list[Fst], epsilon: bool = False) -> Fst:
     """A cascade: the words composed with one rule transducer after another. A rule table is one machine (fst_id 0) that
-    every word's machine meets."""
+    every word's machine meets. epsilon: the rules have epsilon moves."""
     out = words
     for rule in rules:
         ids = out.states.select("fst_id").distinct().withColumn("__rule", F.lit(0).cast("bigint"))
         at = lambda df, ids=ids: df.withColumnRenamed("fst_id", "__rule").join(ids, "__rule").drop("__rule")
         shared = Fst(at(rule.arcs), at(rule.states), rule.semiring)
-        out = renumber(compose(out, shared, epsilon=True))
+        out = renumber(compose(out, shared, epsilon=epsilon))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
 from ..plans.model import ARC, STATE, Fst
+from ..plans.small import by_machine, divide, reach
 from ..plans.storage import Rounds, fresh_path, remove, store
 
 MAX_ROUNDS = 1000
@@ -19,13 +20,27 @@ def turned(fst: Fst) -> DataFrame:
 
 
 def spread(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(fst_id, state): all that arcs (fst_id, src, dst) reach from the seeds, themselves included."""
+    """(fst_id, state): all that arcs (fst_id, src, dst) reach from the seeds, themselves included.
+
+    Small machines are walked each in a task; large ones round by round over the cluster."""
+    kind, large = divide(arcs, seeds)
+    if kind is None:
+        return _spread(seeds, arcs)
+    bare = seeds.select(F.col("fst_id").cast("bigint").alias("fst_id"), F.lit(None).cast(kind).alias("src"), F.col("state").alias("dst"))
+    rows = arcs.select(F.col("fst_id").cast("bigint").alias("fst_id"), "src", "dst").unionByName(bare)
+    if large is None:
+        return store(by_machine(rows, reach, f"state {kind}"), "reach")
+    small = by_machine(rows.join(large, "fst_id", "left_anti"), reach, f"state {kind}")
+    return store(small.unionByName(_spread(seeds.join(large, "fst_id", "left_semi"), arcs.join(large, "fst_id", "left_semi"))), "reach")
+
+
+def _spread(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     rounds = Rounds(seeds.sparkSession, "reach")
     edges = store(arcs.select("fst_id", "src", "dst").where(~F.col("src").eqNullSafe(F.col("dst"))).distinct(), "edges")
     front = rounds.add(seeds.select("fst_id", "state").distinct())
     while not front.isEmpty():
         seen = rounds.rows()
-        step = front.join(edges, (front["fst_id"] == edges["fst_id"]) & (front["state"] == edges["src"])).select(front["fst_id"], edges["dst"].alias("state")).distinct()
+        step = front.withColumnRenamed("state", "src").join(edges, ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state")).distinct()
         front = rounds.add(step.join(seen, ["fst_id", "state"], "left_anti"))
     return rounds.rows()
 
@@ -134,7 +149,7 @@ def shortest_path(fst: Fst, k: int = 1, unique: bool = False, max_rounds: int =
             every = every.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
         best = store(every.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank"), "best")
         bound = best.groupBy("fst_id").agg(F.count("*").alias("__n"), F.max(order(F.col("weight"))).alias("__worst"))
-        step = front.join(arcs, (front["fst_id"] == arcs["fst_id"]) & (front["state"] == arcs["src"]) & ~F.array_contains(front["states"], arcs["dst"])).drop(arcs["fst_id"])
+        step = front.withColumnRenamed("state", "src").join(arcs, ["fst_id", "src"]).where(~F.array_contains("states", F.col("dst")))
         total = s.cast(s.times(s.times(F.col("weight"), F.col("w")), F.col("rest")))
         step = step.join(bound, "fst_id", "left").where((F.coalesce("__n", F.lit(0)) < k) | (order(total) <= F.col("__worst")))
         front = store(step.select("fst_id", F.col("dst").alias("state"), s.cast(s.times(F.col("weight"), F.col("w"))).alias("weight"), F.array_append("ilabels", F.col("ilabel")).alias("ilabels"), F.array_append("olabels", F.col("olabel")).alias("olabels"), F.array_append("states", F.col("dst")).alias("states")), "paths")
@@ -202,7 +217,7 @@ def prune(fst: Fst, threshold: float | None = None, beam: bool = False, npath: i
             return fst.with_(arcs=fst.arcs.limit(0), states=fst.states.limit(0))
         hops = paths.select("fst_id", F.explode(F.expr("transform(sequence(1, greatest(size(ilabels), 1)), i -> struct(states[i - 1] as src, ilabels[i - 1] as il, olabels[i - 1] as ol, states[i] as dst))")).alias("h")).select("fst_id", "h.*").distinct()
         on = paths.select("fst_id", F.explode("states").alias("state")).distinct()
-        arcs = fst.arcs.join(hops, (fst.arcs["fst_id"] == hops["fst_id"]) & (fst.arcs["src"] == hops["src"]) & (fst.arcs["dst"] == hops["dst"]) & (fst.arcs["ilabel"] == hops["il"]) & (fst.arcs["olabel"] == hops["ol"]), "left_semi")
+        arcs = fst.arcs.join(hops.withColumnsRenamed({"il": "ilabel", "ol": "olabel"}), ["fst_id", "src", "dst", "ilabel", "olabel"], "left_semi").select(*ARC)
         return fst.with_(arcs=arcs, states=fst.states.join(on, ["fst_id", "state"], "left_semi").select(*STATE))
     if fst.starts.isEmpty():
         return fst.with_(arcs=fst.arcs.limit(0), states=fst.states.limit(0))

@@ -87,8 +87,8 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
         if not out.where(F.size("dst.x") + F.size("dst.y") > max_delay).isEmpty():
             raise AlgorithmError(f"a delay of more than {max_delay} labels")
         new = out.select("fst_id", F.col("dst").alias("state")).distinct()
-        old = seen.rows()
-        front = seen.add(new.join(old, (new["fst_id"] == old["fst_id"]) & new["state"].eqNullSafe(old["state"]), "left_anti"))
+        old = seen.rows().select(F.col("fst_id").alias("f"), F.col("state").alias("s"))
+        front = seen.add(new.join(old, F.expr("fst_id <=> f and state <=> s"), "left_anti"))
         if front.isEmpty():
             break
     else:

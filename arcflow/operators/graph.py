@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, InvalidOperation
 from ..plans.model import STATE, Fst, numbered, renumber
+from ..plans.small import by_machine, divide, strong_components
 from ..plans.storage import Rounds, store
 from .distance import accessible, coaccessible, restrict
 
@@ -18,9 +19,22 @@ MAX_ROUNDS = 1000
 def components(fst: Fst, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(fst_id, state, component): strongly connected components, named by one of their states.
 
-    Colouring: the least state that reaches a state is its colour; what reaches the colour's own state backwards within
+    Small machines are searched each in a task; large ones over the cluster. Colouring: the least state that reaches a state is its colour; what reaches the colour's own state backwards within
     the colour is its component. Components leave, and the rest is coloured again. States that nothing enters or
     nothing leaves (single components) leave first."""
+    kind, large = divide(fst.arcs, fst.states)
+    if kind is None:
+        return _components(fst, max_rounds)
+    bare = fst.states.select(F.col("fst_id").cast("bigint").alias("fst_id"), F.lit(None).cast(kind).alias("src"), F.col("state").alias("dst"))
+    rows = fst.arcs.select(F.col("fst_id").cast("bigint").alias("fst_id"), "src", "dst").unionByName(bare)
+    if large is None:
+        return store(by_machine(rows, strong_components, f"state {kind}, component {kind}"), "components")
+    small = by_machine(rows.join(large, "fst_id", "left_anti"), strong_components, f"state {kind}, component {kind}")
+    big = fst.with_(arcs=fst.arcs.join(large, "fst_id", "left_semi"), states=fst.states.join(large, "fst_id", "left_semi"))
+    return store(small.unionByName(_components(big, max_rounds)), "components")
+
+
+def _components(fst: Fst, max_rounds: int) -> DataFrame:
     out = Rounds(fst.spark, "components")
     edges = store(fst.arcs.select("fst_id", "src", "dst").where(~F.col("src").eqNullSafe(F.col("dst"))).distinct(), "edges")
     left = store(fst.states.select("fst_id", "state").distinct(), "left")
@@ -302,8 +316,8 @@ def properties(fst: Fst) -> DataFrame:
     """One row for each machine: counts and properties as booleans. All are computed, so none is null."""
     s = fst.semiring
     flags = fst.arcs.groupBy("fst_id").agg(
-        F.count("*").alias("n_arcs"), F.bool_or("ilabel = 0 and olabel = 0").alias("epsilons"), F.bool_or("ilabel = 0").alias("input_epsilons"), F.bool_or("olabel = 0").alias("output_epsilons"),
-        F.bool_and("ilabel = olabel").alias("acceptor"), F.bool_or(~s.is_one(F.col("weight"))).alias("weighted"), F.bool_and("src < dst").alias("top_sorted"),
+        F.count("*").alias("n_arcs"), F.bool_or(F.expr("ilabel = 0 and olabel = 0")).alias("epsilons"), F.bool_or(F.expr("ilabel = 0")).alias("input_epsilons"), F.bool_or(F.expr("olabel = 0")).alias("output_epsilons"),
+        F.bool_and(F.expr("ilabel = olabel")).alias("acceptor"), F.bool_or(~s.is_one(F.col("weight"))).alias("weighted"), F.bool_and(F.expr("src < dst")).alias("top_sorted"),
     )
     degree = lambda label: fst.arcs.groupBy("fst_id", "src", label).count().groupBy("fst_id").agg((F.max("count") == 1).alias(f"{label[0]}_deterministic"))
     order = Window.partitionBy("fst_id", "src").orderBy("pos")

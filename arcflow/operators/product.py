@@ -136,7 +136,8 @@ def partition(fst: Fst, max_rounds: int = MAX_ROUNDS, dense: bool = True) -> Dat
         out = arcs.join(now.select("fst_id", F.col("state").alias("dst"), F.col("class").alias("to")), ["fst_id", "dst"]).groupBy("fst_id", F.col("src").alias("state")).agg(F.sort_array(F.collect_list(F.struct("ilabel", "olabel", "weight", "to"))).alias("out"))
         signed = now.join(out, ["fst_id", "state"], "left")
         least = signed.groupBy("fst_id", "class", "out").agg(F.min("state").alias("new"))
-        new = signed.join(least, (signed["fst_id"] == least["fst_id"]) & signed["class"].eqNullSafe(least["class"]) & signed["out"].eqNullSafe(least["out"])).select(signed["fst_id"], signed["state"], F.col("new").alias("class"))
+        least = least.select(F.col("fst_id").alias("f"), F.col("class").alias("c"), F.col("out").alias("o"), "new")
+        new = signed.join(least, F.expr("fst_id <=> f and class <=> c and out <=> o")).select("fst_id", "state", F.col("new").alias("class"))
         now = store(new, "classes")
         k = now.select("fst_id", "class").distinct().count()
         if k == n:

@@ -113,7 +113,7 @@ def from_lexicon(df: DataFrame, word: str, semiring: Semiring, fst_id: Column |
     one = fst_id if fst_id is not None else F.lit(0).cast("bigint")
     words = df.where(F.col(word).isNotNull()).select(one.alias("fst_id"), F.col(word).alias("w"), semiring.cast(weight if weight is not None else semiring.one).alias("weight"))
     at = words.where("w <> ''").select("fst_id", F.explode(F.expr("transform(sequence(1, length(w)), i -> struct(substring(w, 1, i - 1) as src, substring(w, 1, i) as dst, substring(w, i, 1) as c))")).alias("e")).distinct()
-    label = F.conv(F.hex(F.encode(F.col("e.c"), "UTF-32BE")), 16, 10).cast("bigint")
+    label = F.conv(F.hex(F.encode(F.col("e.c"), "UTF-32")), 16, 10).cast("bigint")
     arcs = at.select("fst_id", F.col("e.src").alias("src"), label.alias("pos"), label.alias("ilabel"), label.alias("olabel"), semiring.cast(semiring.one).alias("weight"), F.col("e.dst").alias("dst"))
     finals = words.groupBy("fst_id", F.col("w").alias("state")).agg(semiring.plus_agg(F.col("weight")).alias("final_weight"))
     return from_edges(arcs, words.select("fst_id", F.lit("").alias("state")).distinct(), finals, semiring)

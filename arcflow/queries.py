@@ -158,10 +158,8 @@ for _name, (_semiring, _weight, _sql) in SUMS.items():
     )
 
 SHIP = "CASE WHEN w < 25 THEN 'ship ' || (w::INT)::VARCHAR ELSE 'sail ' || (w::INT)::VARCHAR END"
-COMMON = "(list_reduce(list_prepend('', list_transform(range(1, least(length(min({x})), length(max({x}))) + 1), i -> CASE WHEN substr(min({x}), 1, i) = substr(max({x}), 1, i) THEN substr(min({x}), 1, i) ELSE '' END)), (a, b) -> CASE WHEN length(a) >= length(b) THEN a ELSE b END))"
 
-
-@query("arc_sum_string", f"WITH {SUP}, t AS (SELECT src, dst, {SHIP} AS x FROM sup) SELECT src, dst, {COMMON.format(x='x')} AS weight FROM t GROUP BY 1, 2")
+@query("arc_sum_string", f"WITH {SUP}, t AS (SELECT src, dst, {SHIP} AS x FROM sup), e AS (SELECT src, dst, min(x) AS a, max(x) AS b FROM t GROUP BY 1, 2) SELECT src, dst, substr(a, 1, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i)))) AS weight FROM e")
 def _(s, d):
     w = lambda q: F.when(q < 25, F.concat(F.lit("ship "), q.cast("int").cast("string"))).otherwise(F.concat(F.lit("sail "), q.cast("int").cast("string"))).cast("binary")
     m = sup(s, d, S.STRING, w)
@@ -315,14 +313,16 @@ UNION ALL SELECT reg, nat, (min(b + c) - (SELECT min(u.b + u.c) FROM t u WHERE u
 UNION ALL SELECT nat, cus, (c - (SELECT min(u.c) FROM t u WHERE u.nat = t.nat))::DOUBLE FROM t""")(lambda s, d: number(distance.push_weights(geo(s, d)).arcs.select("src", "dst", "weight")))
 
 
-@query("push_labels", f"WITH {UP} SELECT fst_id, string_agg(ilabel::VARCHAR, ',' ORDER BY src) AS outputs, min(ilabel) FILTER (WHERE src = 0) AS first FROM up WHERE fst_id % 50 = 1 GROUP BY 1")
+_ROLES = "r AS (SELECT conv_id AS fst_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, ascii(role), text) - 1 AS src, ascii(role)::BIGINT AS i FROM conversations)"
+
+
+@query("push_labels", f"WITH {_ROLES} SELECT fst_id, string_agg(i::VARCHAR, ',' ORDER BY src) AS outputs, min(i) FILTER (WHERE src = 0) AS first FROM r GROUP BY 1")
 def _(s, d):
     """Chains whose outputs come one arc late: pushing brings each back to its own arc."""
-    m = up(s, d)
-    some = m.with_(arcs=m.arcs.where("fst_id % 50 = 1"), states=m.states.where("fst_id % 50 = 1"))
+    some = cv(s, d, S.TROPICAL)
     w = Window.partitionBy("fst_id").orderBy("src")
     late = some.arcs.withColumn("olabel", F.coalesce(F.lag("ilabel").over(w), F.lit(0).cast("bigint")))
-    last = some.finals.join(some.arcs, (some.finals["fst_id"] == some.arcs["fst_id"]) & (some.finals["state"] == some.arcs["dst"])).select(some.arcs["fst_id"], F.col("dst").alias("src"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("ilabel"), F.col("ilabel").alias("olabel"), "weight", (F.col("dst") + 1).alias("dst"))
+    last = some.finals.withColumnRenamed("state", "dst").join(some.arcs, ["fst_id", "dst"]).select("fst_id", F.col("dst").alias("src"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("ilabel"), F.col("ilabel").alias("olabel"), "weight", (F.col("dst") + 1).alias("dst"))
     ends = last.select("fst_id", F.col("dst").alias("state"), F.lit(False).alias("is_start"), F.col("weight").alias("final_weight"))
     states = some.states.withColumn("final_weight", F.lit(None).cast("float")).unionByName(ends)
     pushed = distance.push_labels(some.with_(arcs=late.unionByName(last.select(*ARC)), states=states))
@@ -402,12 +402,12 @@ def _(s, d):
     return graph.condense(ev(s, d)).states.agg(F.count("*").alias("n_states"))
 
 
-_TWO = "WITH RECURSIVE e AS (SELECT (l_partkey % 97)::BIGINT AS src, (l_suppkey % 89 + 20)::BIGINT AS dst FROM lineitem WHERE l_orderkey % 400 = 0), ids AS (SELECT src AS s FROM e UNION SELECT dst FROM e), reach AS (SELECT s AS a, s AS b FROM ids UNION SELECT a, dst FROM reach JOIN e ON src = b)"
+_TWO = "WITH RECURSIVE e AS (SELECT DISTINCT (l_partkey % 97)::BIGINT AS src, (l_suppkey % 89 + 20)::BIGINT AS dst FROM lineitem), ids AS (SELECT src AS s FROM e UNION SELECT dst FROM e), reach AS (SELECT s AS a, s AS b FROM ids UNION SELECT a, dst FROM reach JOIN e ON src = b)"
 
 
 @query("components", _TWO + " SELECT x.a AS state, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1")
 def _(s, d):
-    li = table(s, d, "lineitem").where("l_orderkey % 400 = 0")
+    li = table(s, d, "lineitem")
     arcs = arcs_of(li, S.BOOLEAN, src=(F.col("l_partkey") % 97).cast("bigint"), dst=(F.col("l_suppkey") % 89 + 20).cast("bigint"))
     none = s.range(0).select(F.col("id").alias("fst_id"), F.col("id").alias("state"))
     m = from_edges(arcs, none, none.withColumn("final_weight", F.lit(None).cast("boolean")), S.BOOLEAN)
@@ -447,14 +447,16 @@ def _(s, d):
     return graph.degree_statistics(sup(s, d)).select(F.round("mean_degree", 4).alias("mean_degree"), "max_degree", F.round("sd_degree", 4).alias("sd_degree"), "n_labels", F.round("entropy", 4).alias("entropy"))
 
 
-@query("synchronize", f"WITH {OT} SELECT fst_id, string_agg(ilabel::VARCHAR, ',' ORDER BY src) AS ins, string_agg(olabel::VARCHAR, ',' ORDER BY src) AS outs FROM ot WHERE fst_id % 50 = 1 GROUP BY 1")
+@query("synchronize", f"WITH {_ROLES} SELECT fst_id, string_agg(i::VARCHAR, ',' ORDER BY src) AS ins, string_agg((i + 1000)::VARCHAR, ',' ORDER BY src) AS outs, count(*)::BIGINT AS n FROM r GROUP BY 1")
 def _(s, d):
-    """Every third customer's machine with its outputs behind its inputs, brought together again and read off."""
-    o = table(s, d, "orders").where("o_custkey % 50 = 1").select(F.col("o_custkey").alias("fst_id"), "o_orderdate", "o_orderkey", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.ascii("o_orderstatus").alias("i"), F.lit(0).alias("o")), F.struct(F.lit(1).alias("k"), F.lit(0).alias("i"), F.ascii("o_orderpriority").alias("o")))).alias("x")).select("fst_id", "o_orderdate", "o_orderkey", "x.*")
-    m = from_sequences(o, ["o_orderdate", "o_orderkey", "k"], "i", S.TROPICAL, olabel="o")
+    """Chains that read a label on one arc and write on the next, brought together and read off: one arc for each label."""
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("fst_id"), "turn", F.ascii("role").alias("r"), "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    c = c.withColumns({"i": F.when(F.col("k") == 0, F.col("r")).otherwise(0), "o": F.when(F.col("k") == 1, F.col("r") + 1000).otherwise(0)})
+    m = from_sequences(c, ["turn", "r", "text", "k"], "i", S.TROPICAL, olabel="o")
     paths = distance.shortest_path(epsilon.synchronize(m))
+    pairs = F.size(F.filter(F.arrays_zip("ilabels", "olabels"), lambda x: (x["ilabels"] != 0) & (x["olabels"] == x["ilabels"] + 1000))).cast("bigint")
     text = lambda c: F.array_join(F.filter(F.col(c), lambda x: x != 0).cast("array<string>"), ",")
-    return paths.select("fst_id", text("ilabels").alias("ins"), text("olabels").alias("outs"))
+    return paths.select("fst_id", text("ilabels").alias("ins"), text("olabels").alias("outs"), pairs.alias("n"))
 
 
 @query("replace", "SELECT '7,' || (n_nationkey + 1000)::VARCHAR || ',8' AS w FROM region JOIN nation ON n_regionkey = r_regionkey")
