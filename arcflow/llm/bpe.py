@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 #: Parts from which on a word's merges are kept in a heap.
 HEAP_FROM = 64
 #: Chunks in one generation of the cache of a Python worker.
-CACHE = 200_000
+CACHE = 120_000
 NO_RANK = 1 << 60
 
 

@@ -142,7 +142,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = (lang, "w", w)
                 sums[k] = sums.get(k, 0) + n * share
             sums[lang, "d", b""] = sums.get((lang, "d", b""), 0) + 1
-        if len(sums) > 400_000:
+        if len(sums) > 150_000:
             yield flush()
     yield flush()
 
