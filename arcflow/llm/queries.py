@@ -68,7 +68,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 2048)
+    small_batches(spark, 1024)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return context_mixing.score_docs(docs.withColumn("held_out", context_mixing.held_out(docs["doc_id"])))
 
