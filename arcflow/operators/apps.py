@@ -77,7 +77,7 @@ def spell_check(lexicon: DataFrame, word: str, targets: DataFrame, target: str,
     least = lambda df: df.groupBy("target", "chars", "n", "at", "i").agg(F.min("d").alias("d"))
     rounds = Rounds(lexicon.sparkSession, "spell")
     front = rounds.add(least(spread(t.select("target", "chars", "n", F.lit("").alias("at"), F.lit(0).alias("i"), F.lit(0).alias("d")))))
-    while not front.isEmpty():
+    while rounds.last:
         j = front.join(arcs, "at")
         here = F.get("chars", F.col("i"))
         moves = F.array(F.struct((F.col("i") + 1).alias("i"), (F.col("d") + F.when(here == F.col("ilabel"), 0).otherwise(1)).alias("d")), F.struct(F.col("i").alias("i"), (F.col("d") + 1).alias("d")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import AlgorithmError
 from ..plans.model import ARC, STATE, Fst
 from ..plans.small import by_machine, divide, reach
-from ..plans.storage import Rounds, fresh_path, remove, store
+from ..plans.storage import Rounds, fresh_path, remove, store, store_counted
 
 MAX_ROUNDS = 1000
 DELTA = 1e-9
@@ -38,7 +38,7 @@ def _spread(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     rounds = Rounds(seeds.sparkSession, "reach")
     edges = store(arcs.select("fst_id", "src", "dst").where(~F.col("src").eqNullSafe(F.col("dst"))).distinct(), "edges")
     front = rounds.add(seeds.select("fst_id", "state").distinct())
-    while not front.isEmpty():
+    while rounds.last:
         seen = rounds.rows()
         step = front.withColumnRenamed("state", "src").join(edges, ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state")).distinct()
         front = rounds.add(step.join(seen, ["fst_id", "state"], "left_anti"))
@@ -76,10 +76,10 @@ def distances(seeds: DataFrame, arcs: DataFrame, fst: Fst, max_rounds: int = MAX
     spark = seeds.sparkSession
     edges = store(arcs.select("fst_id", "src", "dst", F.col("weight").alias("w")), "edges")
     path = fresh_path(spark, "dist")
-    known = store(seeds.groupBy("fst_id", "state").agg(s.plus_agg(F.col("weight")).alias("weight")).withColumn("weight", s.cast(F.col("weight"))).withColumns({"residual": F.col("weight"), "live": F.lit(True)}), path=path)
+    known, found = store_counted(seeds.groupBy("fst_id", "state").agg(s.plus_agg(F.col("weight")).alias("weight")).withColumn("weight", s.cast(F.col("weight"))).withColumns({"residual": F.col("weight"), "live": F.lit(True)}), path=path, live=F.col("live"))
     for _ in range(max_rounds):
         front = known.where("live").select("fst_id", F.col("state").alias("src"), "residual")
-        if front.isEmpty():
+        if not found["live"]:
             return known.select("fst_id", "state", "weight")
         product = s.times(F.col("w"), F.col("residual")) if reverse else s.times(F.col("residual"), F.col("w"))
         step = front.join(edges, ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state"), product.alias("m"))
@@ -93,7 +93,7 @@ def distances(seeds: DataFrame, arcs: DataFrame, fst: Fst, max_rounds: int = MAX
             live = F.col("m").isNotNull() & ((F.abs(F.col("m").cast("double")) > delta) if s.name in ("probability", "real") else (new - F.col("weight") != 0) | F.col("weight").isNull() if s.name == "integer" else (F.col("weight").isNull() | (F.abs((new - F.col("weight")).cast("double")) > delta)) if s.size else F.lit(True))
             residual = F.col("m")
         new_path = fresh_path(spark, "dist")
-        known = store(both.select("fst_id", "state", new.alias("weight"), residual.alias("residual"), F.coalesce(live, F.lit(False)).alias("live")), path=new_path)
+        known, found = store_counted(both.select("fst_id", "state", new.alias("weight"), residual.alias("residual"), F.coalesce(live, F.lit(False)).alias("live")), path=new_path, live=F.col("live"))
         remove(spark, path)
         path = new_path
     raise AlgorithmError(f"distances did not converge within {max_rounds} rounds")
@@ -152,8 +152,8 @@ def shortest_path(fst: Fst, k: int = 1, unique: bool = False, max_rounds: int =
         step = front.withColumnRenamed("state", "src").join(arcs, ["fst_id", "src"]).where(~F.array_contains("states", F.col("dst")))
         total = s.cast(s.times(s.times(F.col("weight"), F.col("w")), F.col("rest")))
         step = step.join(bound, "fst_id", "left").where((F.coalesce("__n", F.lit(0)) < k) | (order(total) <= F.col("__worst")))
-        front = store(step.select("fst_id", F.col("dst").alias("state"), s.cast(s.times(F.col("weight"), F.col("w"))).alias("weight"), F.array_append("ilabels", F.col("ilabel")).alias("ilabels"), F.array_append("olabels", F.col("olabel")).alias("olabels"), F.array_append("states", F.col("dst")).alias("states")), "paths")
-        if front.isEmpty():
+        front, found = store_counted(step.select("fst_id", F.col("dst").alias("state"), s.cast(s.times(F.col("weight"), F.col("w"))).alias("weight"), F.array_append("ilabels", F.col("ilabel")).alias("ilabels"), F.array_append("olabels", F.col("olabel")).alias("olabels"), F.array_append("states", F.col("dst")).alias("states")), "paths")
+        if not found["n"]:
             return best.withColumn("rank", F.row_number().over(rank))
     raise AlgorithmError(f"paths did not end within {max_rounds} rounds")
 
@@ -197,8 +197,8 @@ def random_paths(fst: Fst, n: int = 1, seed: int = 0, max_length: int = 100, wei
         pick = every.groupBy("fst_id", "path").agg(F.min_by(F.struct("ilabels", "olabels", "states", "il", "ol", "to", "stop"), key).alias("x")).select("fst_id", "path", "x.*")
         pick = store(pick, "random")
         out.add(pick.where("stop").select("fst_id", "path", "ilabels", "olabels", "states"))
-        front = store(pick.where("not stop").select("fst_id", "path", F.col("to").alias("state"), F.array_append("ilabels", F.col("il")).alias("ilabels"), F.array_append("olabels", F.col("ol")).alias("olabels"), F.array_append("states", F.col("to")).alias("states")), "random")
-        if front.isEmpty():
+        front, found = store_counted(pick.where("not stop").select("fst_id", "path", F.col("to").alias("state"), F.array_append("ilabels", F.col("il")).alias("ilabels"), F.array_append("olabels", F.col("ol")).alias("olabels"), F.array_append("states", F.col("to")).alias("states")), "random")
+        if not found["n"]:
             break
     return out.rows()
 
@@ -281,8 +281,8 @@ def push_labels(fst: Fst) -> Fst:
         move = out.join(into, ["fst_id", "state"]).join(fixed, ["fst_id", "state"], "left_anti").select("fst_id", "state", F.col("a").alias("label"))
         # Neighbours may not move in the same round.
         busy = now.arcs.join(move.withColumnRenamed("state", "src"), ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state")).distinct()
-        move = store(move.join(busy, ["fst_id", "state"], "left_anti"), "move")
-        if move.isEmpty():
+        move, found = store_counted(move.join(busy, ["fst_id", "state"], "left_anti"), "move")
+        if not found["n"]:
             return now
         arcs = now.arcs.join(move.select("fst_id", F.col("state").alias("src"), F.col("label").alias("gone")), ["fst_id", "src"], "left").join(move.select("fst_id", F.col("state").alias("dst"), "label"), ["fst_id", "dst"], "left")
         arcs = arcs.withColumn("olabel", F.when(F.col("label").isNotNull(), F.col("label")).when(F.col("gone").isNotNull(), F.lit(0).cast("bigint")).otherwise(F.col("olabel"))).select(*ARC)

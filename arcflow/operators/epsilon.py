@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
 from ..plans.model import ARC, EPSILON, STATE, Fst
-from ..plans.storage import Rounds, store
+from ..plans.storage import Rounds, store, store_counted
 from .distance import DELTA, MAX_ROUNDS
 from .rational import arc_sum
 
@@ -37,10 +37,10 @@ def remove_epsilons(fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DELTA
 def _closure(seeds, eps, fst: Fst, max_rounds: int, delta: float):
     """fst_id, source, target, c: sums over all silent paths."""
     s = fst.semiring
-    known = store(seeds.withColumns({"residual": F.col("weight"), "live": F.lit(True)}), "closure")
+    known, found = store_counted(seeds.withColumns({"residual": F.col("weight"), "live": F.lit(True)}), "closure", live=F.col("live"))
     for _ in range(max_rounds):
         front = known.where("live").select(F.col("fst_id").alias("k"), F.col("fst_id.fst_id").alias("fst_id"), F.col("state").alias("src"), "residual")
-        if front.isEmpty():
+        if not found["live"]:
             return known.select(F.col("fst_id.fst_id").alias("fst_id"), F.col("fst_id.source").alias("source"), F.col("state").alias("target"), F.col("weight").alias("c"))
         step = front.join(eps, ["fst_id", "src"]).groupBy(F.col("k").alias("fst_id"), F.col("dst").alias("state")).agg(s.plus_agg(s.times(F.col("residual"), F.col("weight"))).alias("m")).withColumn("m", s.cast(F.col("m")))
         both = known.select("fst_id", "state", "weight").join(step, ["fst_id", "state"], "full")
@@ -48,7 +48,7 @@ def _closure(seeds, eps, fst: Fst, max_rounds: int, delta: float):
         changed = F.col("m").isNotNull() & (F.col("weight").isNull() | ~new.eqNullSafe(F.col("weight")))
         if not s.idempotent and s.size is not None and s.type == "double":
             changed = F.col("m").isNotNull() & (F.col("weight").isNull() | (F.abs(new - F.col("weight")) > delta))
-        known = store(both.select("fst_id", "state", new.alias("weight"), (new if s.idempotent else F.col("m")).alias("residual"), F.coalesce(changed, F.lit(False)).alias("live")), "closure")
+        known, found = store_counted(both.select("fst_id", "state", new.alias("weight"), (new if s.idempotent else F.col("m")).alias("residual"), F.coalesce(changed, F.lit(False)).alias("live")), "closure", live=F.col("live"))
     raise AlgorithmError(f"the closure did not converge within {max_rounds} rounds")
 
 
@@ -83,13 +83,11 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
         tail = here.join(end, ["fst_id", "q"], "left").where("(q is null or final_weight is not null) and size(x) + size(y) > 0")
         w = F.when(F.col("q").isNull(), s.cast(s.one)).otherwise(F.col("final_weight"))
         write = tail.select("fst_id", F.col("src0").alias("src"), F.lit(1 << 40).cast("bigint").alias("pos"), first(F.col("x")).alias("ilabel"), first(F.col("y")).alias("olabel"), w.alias("weight"), key(F.lit(None).cast(fst.states.schema["state"].dataType), rest(F.col("x")), rest(F.col("y"))).alias("dst"))
-        out = made.add(go.unionByName(write))
-        if not out.where(F.size("dst.x") + F.size("dst.y") > max_delay).isEmpty():
-            raise AlgorithmError(f"a delay of more than {max_delay} labels")
+        out = made.add(go.unionByName(write).withColumn("pos", F.when(F.size("dst.x") + F.size("dst.y") > max_delay, F.raise_error(F.lit("the delay grows beyond max_delay")).cast("bigint")).otherwise(F.col("pos"))))
         new = out.select("fst_id", F.col("dst").alias("state")).distinct()
         old = seen.rows().select(F.col("fst_id").alias("f"), F.col("state").alias("s"))
         front = seen.add(new.join(old, F.expr("fst_id <=> f and state <=> s"), "left_anti"))
-        if front.isEmpty():
+        if not seen.last:
             break
     else:
         raise AlgorithmError("synchronization did not end")

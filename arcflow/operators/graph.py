@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..errors import AlgorithmError, InvalidOperation
 from ..plans.model import STATE, Fst, numbered, renumber
 from ..plans.small import by_machine, divide, strong_components
-from ..plans.storage import Rounds, store
+from ..plans.storage import Rounds, store, store_counted
 from .distance import accessible, coaccessible, restrict
 
 MAX_ROUNDS = 1000
@@ -51,7 +51,7 @@ def _components(fst: Fst, max_rounds: int) -> DataFrame:
             back = store(same.select("fst_id", "a", F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
             rounds = Rounds(fst.spark, "back")
             front = rounds.add(colour.where("state = c").select("fst_id", "state", F.col("c").alias("a")))
-            while not front.isEmpty():
+            while rounds.last:
                 step = front.withColumnRenamed("state", "src").join(back, ["fst_id", "a", "src"]).select("fst_id", F.col("dst").alias("state"), "a").distinct()
                 front = rounds.add(step.join(rounds.rows(), ["fst_id", "state", "a"], "left_anti"))
             found = out.add(rounds.rows().select("fst_id", "state", F.col("a").alias("component")))
@@ -90,15 +90,15 @@ def topological_levels(fst: Fst, max_rounds: int = 100_000) -> DataFrame:
     round by round; a cycle is an error."""
     edges = store(fst.arcs.select("fst_id", "src", "dst"), "edges")
     out = Rounds(fst.spark, "levels")
-    left = store(fst.states.select("fst_id", "state").distinct(), "left")
+    left, rest = store_counted(fst.states.select("fst_id", "state").distinct(), "left")
     for level in range(max_rounds):
-        if left.isEmpty():
+        if not rest["n"]:
             return out.rows()
         entered = edges.select("fst_id", F.col("dst").alias("state")).distinct()
         free = out.add(left.join(entered, ["fst_id", "state"], "left_anti").withColumn("level", F.lit(level).cast("bigint")))
-        if free.isEmpty():
+        if not out.last:
             raise AlgorithmError("there is a cycle")
-        left = store(left.join(free, ["fst_id", "state"], "left_anti"), "left")
+        left, rest = store_counted(left.join(free, ["fst_id", "state"], "left_anti"), "left")
         edges = store(edges.join(free.select("fst_id", F.col("state").alias("src")), ["fst_id", "src"], "left_anti").select("fst_id", "src", "dst"), "edges")
     raise AlgorithmError("levels did not end")
 
@@ -109,7 +109,7 @@ def breadth_levels(fst: Fst) -> DataFrame:
     edges = store(fst.arcs.select("fst_id", "src", "dst").distinct(), "edges")
     front = rounds.add(fst.starts.withColumn("level", F.lit(0).cast("bigint")))
     n = 0
-    while not front.isEmpty():
+    while rounds.last:
         n += 1
         step = front.select("fst_id", F.col("state").alias("src")).join(edges, ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state")).distinct()
         front = rounds.add(step.join(rounds.rows().select("fst_id", "state"), ["fst_id", "state"], "left_anti").withColumn("level", F.lit(n).cast("bigint")))
@@ -160,7 +160,7 @@ def _breadth_order(fst: Fst) -> DataFrame:
     edges = store(fst.arcs.select("fst_id", "src", "dst", "pos"), "edges")
     front = rounds.add(fst.starts.withColumn("key", F.lit(0).cast("bigint")))
     at = 1
-    while not front.isEmpty():
+    while rounds.last:
         step = front.select("fst_id", F.col("state").alias("src"), "key").join(edges, ["fst_id", "src"]).groupBy("fst_id", F.col("dst").alias("state")).agg(F.min(F.struct("key", "pos")).alias("k"))
         new = step.join(rounds.rows().select("fst_id", "state"), ["fst_id", "state"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("fst_id").orderBy("k", "state"))
@@ -209,7 +209,7 @@ def isomorphic(a: Fst, b: Fst) -> DataFrame:
     y = store(b.arcs.withColumn("i", place).select("fst_id", F.col("src").alias("q"), "i", F.col("ilabel").alias("il"), F.col("olabel").alias("ol"), F.col("weight").alias("w"), F.col("dst").alias("q2")), "right")
     pairs = Rounds(a.spark, "pairs")
     front = pairs.add(a.starts.withColumnRenamed("state", "p").join(b.starts.withColumnRenamed("state", "q"), "fst_id"))
-    while not front.isEmpty():
+    while pairs.last:
         step = front.join(x, ["fst_id", "p"]).join(y, ["fst_id", "q", "i"]).select("fst_id", F.col("p2").alias("p"), F.col("q2").alias("q")).distinct()
         front = pairs.add(step.join(pairs.rows(), ["fst_id", "p", "q"], "left_anti"))
     every = pairs.rows()

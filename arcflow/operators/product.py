@@ -53,7 +53,7 @@ def compose(a: Fst, b: Fst, match: Callable[[Column, Column], Column] | None = N
         arcs = made.add(out)
         new = arcs.select("fst_id", F.col("dst").alias("state")).distinct().join(seen.rows(), ["fst_id", "state"], "left_anti")
         front = seen.add(new)
-        n = front.count()
+        n = seen.last
         total += n
         if not n:
             break
@@ -107,7 +107,7 @@ def determinize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_states: int = MAX_ST
         sub = F.sort_array(F.transform("list", lambda m: F.struct(m["q"].alias("q"), rest(m["r"], F.col("weight")).alias("r"))))
         arcs_out = made.add(moves.select("fst_id", "src", F.col("ilabel").alias("pos"), "ilabel", F.col("ilabel").alias("olabel"), one.alias("weight"), sub.alias("dst")))
         front = seen.add(arcs_out.select("fst_id", F.col("dst").alias("state")).distinct().join(seen.rows(), ["fst_id", "state"], "left_anti"))
-        n = front.count()
+        n = seen.last
         total += n
         if not n:
             break

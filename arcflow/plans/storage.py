@@ -6,7 +6,8 @@ import atexit
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import StorageError
 
@@ -47,16 +48,28 @@ def store(df: DataFrame, name: str = "step", path: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_counted(df: DataFrame, name: str = "step", path: str | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """store, and sums of rows (n: all of them) that the writing job itself observes, so loops need no job to count."""
+    seen = Observation()
+    held = df.observe(seen, F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+    out = store(held, name, path)
+    return out, {k: v or 0 for k, v in seen.get.items()}
+
+
 class Rounds:
     """The rows of a loop, one file set a round in one folder; `rows` reads them all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n, self.schema = spark, fresh_path(spark, name), 0, None
+        #: Rows of the last round.
+        self.last = 0
 
     def add(self, df: DataFrame) -> DataFrame:
         self.schema = df.schema
         self.n += 1
-        return store(df, path=f"{self.path}/round={self.n}")
+        out, found = store_counted(df, path=f"{self.path}/round={self.n}")
+        self.last = found["n"]
+        return out
 
     def rows(self) -> DataFrame:
         paths = [f"{self.path}/round={i + 1}" for i in range(self.n)]
