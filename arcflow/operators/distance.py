@@ -133,6 +133,7 @@ def shortest_path(fst: Fst, k: int = 1, unique: bool = False, max_rounds: int =
         raise AlgorithmError("no start state")
     if k <= 0:
         return fst.states.select("fst_id", F.lit(0).alias("rank"), "final_weight", F.array().cast("array<bigint>").alias("ilabels"), F.array().cast("array<bigint>").alias("olabels"), F.array("state").alias("states")).withColumnRenamed("final_weight", "weight").limit(0)
+    fst = fst.with_(states=store(fst.states.select(*STATE), "states"))
     useful = store(distance_to_final(fst).withColumnRenamed("weight", "rest"), "rest")
     arcs = store(fst.arcs.join(useful.select("fst_id", F.col("state").alias("dst"), "rest"), ["fst_id", "dst"]).select("fst_id", "src", "dst", "ilabel", "olabel", F.col("weight").alias("w"), "rest"), "edges")
     none = F.array().cast("array<bigint>")
@@ -181,6 +182,7 @@ def random_paths(fst: Fst, n: int = 1, seed: int = 0, max_length: int = 100, wei
     others; stopping at a final is one more choice, of weight one. Paths cut off by max_length are dropped. The same
     seed gives the same paths."""
     s = fst.semiring
+    fst = fst.with_(states=store(fst.states.select(*STATE), "states"))
     arcs = store(restrict(fst, coaccessible(fst)).arcs, "edges")
     chance = (F.exp(-F.col("weight").cast("double")) if s.name in ("tropical", "log", "min") else F.greatest(F.col("weight").cast("double"), F.lit(0.0))) if weighted else F.lit(1.0)
     none = F.array().cast("array<bigint>")
@@ -221,6 +223,7 @@ def prune(fst: Fst, threshold: float | None = None, beam: bool = False, npath: i
         return fst.with_(arcs=arcs, states=fst.states.join(on, ["fst_id", "state"], "left_semi").select(*STATE))
     if fst.starts.isEmpty():
         return fst.with_(arcs=fst.arcs.limit(0), states=fst.states.limit(0))
+    fst = fst.with_(states=store(fst.states.select(*STATE), "states"))
     d = store(distances(fst.starts.withColumn("weight", s.cast(s.one)), fst.arcs, fst).withColumnRenamed("weight", "d"), "d")
     b = store(distance_to_final(fst).withColumnRenamed("weight", "b"), "b")
     limit = s.cast(F.lit(threshold))

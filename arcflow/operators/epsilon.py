@@ -66,6 +66,7 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
     first = lambda a: F.when(F.size(a) > 0, F.get(a, 0)).otherwise(F.lit(0).cast("bigint"))
     rest = lambda a: F.when(F.size(a) > 0, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
     arcs = store(fst.arcs, "edges")
+    fst = fst.with_(states=store(fst.states.select(*STATE), "states"))
     end = fst.states.select("fst_id", F.col("state").alias("q"), "final_weight")
     seen, made = Rounds(fst.spark, "sync"), Rounds(fst.spark, "sync-arcs")
     start = fst.starts.select("fst_id", key(F.col("state"), none, none).alias("state"))
@@ -98,4 +99,4 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
 
     named = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
     plain = Fst(made.rows().select("fst_id", named(F.col("src")).alias("src"), "pos", "ilabel", "olabel", "weight", named(F.col("dst")).alias("dst")), states.withColumn("state", named(F.col("state"))).select(*STATE), s)
-    return renumber(plain)
+    return renumber(plain).stored("synchronized")

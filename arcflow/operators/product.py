@@ -32,7 +32,7 @@ def compose(a: Fst, b: Fst, match: Callable[[Column, Column], Column] | None = N
     f_of = lambda c: c["f"] if epsilon else F.lit(0)
     left = store(a.arcs.select("fst_id", F.col("src").alias("s1"), F.col("pos").alias("p1"), "ilabel", F.col("olabel").alias("m1"), F.col("weight").alias("w1"), F.col("dst").alias("d1")), "left")
     right = store(b.arcs.select("fst_id", F.col("src").alias("s2"), F.col("pos").alias("p2"), F.col("ilabel").alias("m2"), "olabel", F.col("weight").alias("w2"), F.col("dst").alias("d2")), "right")
-    start = a.starts.withColumnRenamed("state", "s1").join(b.starts.withColumnRenamed("state", "s2"), "fst_id").select("fst_id", pair(F.col("s1"), F.col("s2"), F.lit(0)).alias("state"))
+    start = store(a.starts.withColumnRenamed("state", "s1").join(b.starts.withColumnRenamed("state", "s2"), "fst_id").select("fst_id", pair(F.col("s1"), F.col("s2"), F.lit(0)).alias("state")), "starts")
     seen, made = Rounds(a.spark, "seen"), Rounds(a.spark, "made")
     front = seen.add(start.distinct())
     total = 0
@@ -66,7 +66,8 @@ def compose(a: Fst, b: Fst, match: Callable[[Column, Column], Column] | None = N
     st = st.join(start.withColumn("first", F.lit(True)), ["fst_id", "state"], "left")
     final = F.when(F.col("w1").isNotNull() & F.col("w2").isNotNull(), s.cast(s.times(F.col("w1"), F.col("w2"))))
     states = st.select("fst_id", "state", F.coalesce("first", F.lit(False)).alias("is_start"), final.alias("final_weight"))
-    return Fst(made.rows().select(*ARC), states.withColumn("final_weight", F.when(~s.is_zero(F.col("final_weight")), F.col("final_weight"))), s)
+    states = store(states.withColumn("final_weight", F.when(~s.is_zero(F.col("final_weight")), F.col("final_weight"))), "states")
+    return Fst(made.rows().select(*ARC), states, s)
 
 
 def is_acceptor(fst: Fst) -> bool:
@@ -92,7 +93,7 @@ def determinize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_states: int = MAX_ST
     member = lambda st, r: F.struct(st.alias("q"), r.alias("r"))
     rest = (lambda w, least: w) if plain else (lambda w, least: s.cast(s.divide(w, least)))
     arcs = store(fst.arcs.select("fst_id", F.col("src").alias("q"), "ilabel", F.col("weight").alias("w"), "dst"), "edges")
-    start = fst.starts.groupBy("fst_id").agg(F.sort_array(F.collect_list(member(F.col("state"), s.cast(s.one)))).alias("state"))
+    start = store(fst.starts.groupBy("fst_id").agg(F.sort_array(F.collect_list(member(F.col("state"), s.cast(s.one)))).alias("state")), "starts")
     seen, made = Rounds(fst.spark, "subsets"), Rounds(fst.spark, "subset-arcs")
     front = seen.add(start)
     total = 0
@@ -120,7 +121,7 @@ def determinize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_states: int = MAX_ST
     fin = m.join(fst.finals.withColumnRenamed("state", "q"), ["fst_id", "q"]).groupBy("fst_id", "state").agg(s.plus_agg(s.times(F.col("r"), F.col("final_weight"))).alias("final_weight"))
     st = every.join(start.withColumn("first", F.lit(True)), ["fst_id", "state"], "left").join(fin, ["fst_id", "state"], "left")
     states = st.select("fst_id", "state", F.coalesce("first", F.lit(False)).alias("is_start"), s.cast(F.col("final_weight")).alias("final_weight"))
-    return Fst(made.rows().select(*ARC), states, s)
+    return Fst(made.rows().select(*ARC), store(states, "states"), s)
 
 
 # -- bisimulation and minimization ---------------------------------------------------------------
