@@ -242,5 +242,6 @@ def cluster(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     named = roots.join(firsts, F.col("node") == F.col("fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # A table of its own, so that the join below can split a fingerprint that a third of the rows may share.
+    ids = materialize(firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "ids")
     return prints.join(ids, "fp").select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
