@@ -204,7 +204,8 @@ class LineStore:
 
     def __init__(self, spark: SparkSession, path: str, refs: DataFrame, shards: int, filters: DataFrame | None = None):
         self.spark, self.path, self.refs, self.shards = spark, path, refs, shards
-        self.shared = counts(refs).where("n_docs >= 2")
+        # A table of its own: a join on it can split a hot key, which it cannot above the aggregation.
+        self.shared = materialize(counts(refs).where("n_docs >= 2"), "shared", f"{path}/shared")
         self.filters = filters if filters is not None else materialize(build_filters(self.shared, shards), "filters", f"{path}/filters")
 
     @classmethod
