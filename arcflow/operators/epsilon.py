@@ -84,7 +84,9 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
         tail = here.join(end, ["fst_id", "q"], "left").where("(q is null or final_weight is not null) and size(x) + size(y) > 0")
         w = F.when(F.col("q").isNull(), s.cast(s.one)).otherwise(F.col("final_weight"))
         write = tail.select("fst_id", F.col("src0").alias("src"), F.lit(1 << 40).cast("bigint").alias("pos"), first(F.col("x")).alias("ilabel"), first(F.col("y")).alias("olabel"), w.alias("weight"), key(F.lit(None).cast(fst.states.schema["state"].dataType), rest(F.col("x")), rest(F.col("y"))).alias("dst"))
-        out = made.add(go.unionByName(write).withColumn("pos", F.when(F.size("dst.x") + F.size("dst.y") > max_delay, F.raise_error(F.lit("the delay grows beyond max_delay")).cast("bigint")).otherwise(F.col("pos"))))
+        out = made.add(go.unionByName(write), late=F.size("dst.x") + F.size("dst.y") > max_delay)
+        if made.found["late"]:
+            raise AlgorithmError(f"a delay of more than {max_delay} labels")
         new = out.select("fst_id", F.col("dst").alias("state")).distinct()
         old = seen.rows().select(F.col("fst_id").alias("f"), F.col("state").alias("s"))
         front = seen.add(new.join(old, F.expr("fst_id <=> f and state <=> s"), "left_anti"))

@@ -63,12 +63,13 @@ class Rounds:
         self.spark, self.path, self.n, self.schema = spark, fresh_path(spark, name), 0, None
         #: Rows of the last round.
         self.last = 0
+        self.found: dict[str, int] = {}
 
-    def add(self, df: DataFrame) -> DataFrame:
+    def add(self, df: DataFrame, **counts: Column) -> DataFrame:
         self.schema = df.schema
         self.n += 1
-        out, found = store_counted(df, path=f"{self.path}/round={self.n}")
-        self.last = found["n"]
+        out, self.found = store_counted(df, path=f"{self.path}/round={self.n}", **counts)
+        self.last = self.found["n"]
         return out
 
     def rows(self) -> DataFrame:
