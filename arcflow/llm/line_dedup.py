@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACES, byte_texts, delete_path, materialize, new_path, per_batch
 
 MIN_CHARS = 10
-REPLICAS = 4
+REPLICAS = 16
 SLOTS = 4
 MAX_KICKS = 500
 
