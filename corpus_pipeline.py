@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcflow.llm import bpe, decontaminate, line_dedup, quality, simhash
+from arcflow.llm import bpe, decontaminate, line_dedup, near_copies, quality
 from arcflow.llm.common import materialize, small_batches, table
 from arcflow.llm.queries import word_bpe
 
@@ -44,9 +44,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies: 5-word shingles, Jaccard similarity of at least 0.8."""
     small_batches(spark)
-    found = simhash.cluster(rows_of(docs, "doc_id", "text"), keep=("doc_id", "row"))
+    found = near_copies.groups(rows_of(docs, "doc_id"), F.col("row")["text"], keep=("doc_id", "row"))
     return found.where("doc_id <=> component_id").select("row.*")
 
 
@@ -69,7 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", keep_quality),
     ("line dedup", drop_lines),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_leaks),
     ("BPE encoding", encode),
 ]
