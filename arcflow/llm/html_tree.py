@@ -42,6 +42,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are not text of the page, whatever they hold.
 UNSEEN = set("head template svg math object audio video canvas select datalist".split())
+#: Elements that can stand in a head; any other one, or text, closes an open head.
+IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: What a new element closes: an open element of these names, up to a boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 IN_PARAGRAPH_CLOSE = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -105,10 +107,17 @@ def parse(source: str | None) -> Page:
             unseen -= n in UNSEEN
         del stack[depth:]
 
+    def leave_head() -> None:
+        if stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     while True:
         m = TOKEN.search(source, at)
+        end_of_text = m.start() if m else len(source)
+        if stack[-1][0] == "head" and source[at:end_of_text].strip():
+            leave_head()
         if not unseen and (m is None or m.start() > at):
-            piece = source[at : m.start() if m else len(source)]
+            piece = source[at:end_of_text]
             pieces.append(piece)
             if links:
                 linked += len(piece.strip())
@@ -127,6 +136,14 @@ def parse(source: str | None) -> Page:
                 if name in INLINE and stack[depth][0] not in INLINE:
                     break
             continue
+        if name == "body":
+            open_names = [n for n, _ in stack]
+            if "head" in open_names and "template" not in open_names:
+                pop_to(open_names.index("head"))
+        elif name not in IN_HEAD:
+            leave_head()
+        elif name == "head" and any(n == "head" for n, _ in stack):
+            continue
         if name in IN_PARAGRAPH_CLOSE:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":

@@ -132,6 +132,17 @@ def test_html_marginals_match_enumeration(model):
         assert got[i] == pytest.approx(sum(w for y, w in weight.items() if y[i]) / total, abs=1e-9)
 
 
+def test_html_head_left_open(model):
+    body = "<article><h1>Title here</h1><p>Words of the article that are long enough to be a sentence.</p></article>"
+    want = ["Title here\nWords of the article that are long enough to be a sentence."]
+    for head in ("<title>No</title>", "<meta charset=utf-8><link href=x>", "<style>p{}</style><noscript><img src=x></noscript>", "<head>", "<template><p>No words of this are seen.</p></template>"):
+        assert model.extract([f"<html><head>{head}</head><body>{body}</body></html>"]) == want
+        assert model.extract([f"<html><head>{head}<body>{body}</body></html>"]) == want
+        assert model.extract([f"<html><head>{head}\n{body}"]) == want
+    assert html_tree.parse("<head><title>No</title>Seen<p>Too").text[-2:] == [None, "Too"]
+    assert "Seen" in html_tree.parse("<head><title>No</title>Seen<p>Too").text
+
+
 def test_html_odd_pages(spark, pages):
     found = {r["page_id"]: r for r in html_tree.extract(pages, html_tree.fit(pages), keep=("page_id", "url")).collect()}
     assert found[1]["text"] == found[2]["text"] == "" and found[1]["n_chars"] == 0
