@@ -235,7 +235,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def cluster(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """`keep` (with doc_id), fingerprint (hex), component_id and n_links (linked other fingerprints are not counted twice)."""
+    """`keep` (with doc_id), fingerprint (hex) and component_id."""
     prints = materialize(fingerprints(docs, keep, text, size), "fingerprints")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
     roots = components(links(firsts.select("fp")))
