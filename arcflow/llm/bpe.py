@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import Carry, released
+
 #: Parts from which on a word's merges are kept in a heap.
 HEAP_FROM = 64
 #: Chunks in one generation of the cache of a Python worker.
@@ -205,34 +207,39 @@ def load(path: str) -> RankArrayBPE:
     return RankArrayBPE(path)
 
 
-def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), whole: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False, decoded: bool = False) -> DataFrame:
     """Encode each text and decode the ids again.
 
-    Returns `keep`, n_tokens, ids_sha256 and decoded_sha256; with `whole`, also ids (array<int>) and decoded.
+    Returns `keep`, n_tokens, ids_sha256 and decoded_sha256, and where they are asked for ids (array<int>) and decoded.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
+    own = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ids * ", ids array<int>" + decoded * ", decoded string"
+    carry = Carry(df, keep, text=text)
+    held, at = carry.held, carry.at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids_sha, dec_sha, all_ids, all_dec = [], [], [], [], []
-            for t in batch.column("__text").to_pylist():
+            for t in batch.column(at).to_pylist():
                 parts = model.parts(t or "")
-                ids = b"".join([p[0] for p in parts])
-                dec = b"".join([p[1] for p in parts])[:-1]
-                n.append(len(ids) >> 2)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                dec_sha.append(hashlib.sha256(dec).hexdigest())
-                if whole:
-                    all_ids.append(np.frombuffer(ids, "<u4").astype(np.int32))
-                    all_dec.append(dec.decode())
-            out = [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if whole:
-                out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_dec, pa.string())]
-                names += ["ids", "decoded"]
+                found = b"".join([p[0] for p in parts])
+                text = b"".join([p[1] for p in parts])[:-1]
+                n.append(len(found) >> 2)
+                ids_sha.append(hashlib.sha256(found).hexdigest())
+                dec_sha.append(hashlib.sha256(text).hexdigest())
+                if ids:
+                    all_ids.append(np.frombuffer(found, "<u4").astype(np.int32))
+                if decoded:
+                    all_dec.append(text.decode())
+            out = [batch.column(c) for c in held] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
+            names = [*held, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if ids:
+                out.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if decoded:
+                out.append(pa.array(all_dec, pa.string()))
+                names.append("decoded")
             return pa.RecordBatch.from_arrays(out, names)
 
         for batch in batches:
@@ -240,4 +247,4 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 yield work(batch)
         model.clear()  # workers are used again
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return carry.run(released(run), own)

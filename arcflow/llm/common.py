@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch to a Python worker. Whole texts can be long, so batches stay small.
+#: Rows and bytes in one Arrow batch to a Python worker. A text longer than that is a batch of its own.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 #: Bytes of the six ASCII white-space characters, as the contracts list them.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Lower-cases A-Z and leaves every other byte, so UTF-8 sequences stay whole.
@@ -22,9 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small enough for a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts by rows and bytes.
+
+    Plans are lazy, so the bounds must still hold when a caller runs them: they stay on the session. They change no
+    result, and a tighter bound of the caller's is left alone."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,6 +84,40 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(texts: list, most: int = 1 << 19) -> Iterator[list]:
+    """Runs of the texts of at most so many characters; a longer text is a run of its own."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def give_back() -> None:
+    """Hand free memory back to the system: Python workers are used again, and so would their heaps be."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives its memory back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that calls make() once a task and then its result on every batch with rows."""
 
@@ -83,4 +127,44 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) ->
             if batch.num_rows:
                 yield work(batch)
 
-    return run
+    return released(run)
+
+
+def free_names(keep: tuple[str, ...], own: list[str]) -> list[str]:
+    """The kept columns' names; one that an operator's own column bears gets input_ in front until it is free."""
+    taken, out = set(own), []
+    for name in keep:
+        while name in taken:
+            name = f"input_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+class Carry:
+    """Rows on their way through a Python worker: the kept columns by position, and what the operator reads.
+
+    A string column that is kept and read travels once. Names cannot clash on the way; in the result a kept column that
+    bears the name of one of the operator's own is called input_<name>."""
+
+    def __init__(self, docs: DataFrame, keep: tuple[str, ...], **reads: str | Column):
+        self.names = list(keep)
+        columns = [docs[c].alias(f"__k{i}") for i, c in enumerate(keep)]
+        self.at: dict[str, str] = {}
+        for name, c in reads.items():
+            if isinstance(c, str) and c in keep and docs.schema[c].dataType.simpleString() == "string":
+                self.at[name] = f"__k{self.names.index(c)}"
+            else:
+                self.at[name] = f"__{name}"
+                columns.append((docs[c] if isinstance(c, str) else c).cast("string").alias(f"__{name}"))
+        self.rows = docs.select(*columns)
+        self.fields = [f"__k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+        self.held = [f"__k{i}" for i in range(len(keep))]
+
+    def run(self, task, own: str, rows: DataFrame | None = None) -> DataFrame:
+        """task over the rows (or over rows made of them); own: the fields it adds behind the kept columns."""
+        out = (self.rows if rows is None else rows).mapInArrow(task, ", ".join([*self.fields, own]))
+        return self.named(out, [x.split()[0] for x in own.split(", ")])
+
+    def named(self, out: DataFrame, own: list[str]) -> DataFrame:
+        return out.select(*(F.col(h).alias(n) for h, n in zip(self.held, free_names(tuple(self.names), own))), *own)

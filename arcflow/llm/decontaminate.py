@@ -13,11 +13,13 @@ occurrence and keeps the index small beside the text.
 Phrases: the windows of `WINDOW` consecutive words of each item; an item of fewer words, but at least one, is one
 phrase. Words are runs of digits, letters and characters beyond ASCII, with A-Z lower-cased.
 
-Benchmarks are read in blocks of at most `BLOCK_BYTES` of text, so that what is broadcast is bounded whatever their
-number; a document's spans and items are the union over the blocks.
+Benchmarks are read in blocks of about `BLOCK_BYTES` of text (an item is never divided), held as arrays. Only one block is
+broadcast at a time: with more than one, the documents are numbered and written once and each block's pass writes the
+documents it hits, before its broadcast is given up; a document's spans and items are the union over the blocks.
 
 Defined results: a null or empty text has no words and no hits; items without words are ignored; equal windows of
-several items count for each of them; a null item_id is ignored; an empty benchmark leaves every document clean.
+several items count for each of them; a null item_id is ignored; an empty benchmark leaves every document clean; a kept
+column with the name of one of the result's comes back as input_<name>.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, per_batch
+from .common import Carry, byte_texts, materialize, new_path, pieces, released
 
 WINDOW = 8
 #: Fewest different items with an occurring window that make a document contaminated.
 MIN_ITEMS = 2
 SHARD_WORDS = 2_000_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: A rank is stored for every so many bits.
 RANK_EVERY = 64
 #: A suffix position is stored for every so many text positions.
@@ -54,26 +56,29 @@ class Phrases:
 
     def __init__(self, items: list[tuple[object, bytes]]):
         self.ids: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], list[int]] = {}
-        self.items = sorted({str(i) for i, t in items if i is not None and words_of(t)})
-        place = {x: n for n, x in enumerate(self.items)}
+        names: dict[str, int] = {}
+        rows, owners = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
             words = words_of(text)
             if item is None or not words:
                 continue
-            ids = [self.ids.setdefault(w, len(self.ids) + 2) for w in words]
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1):
-                owners = windows.setdefault(tuple(ids[i : i + size]), [])
-                if not owners or owners[-1] != place[str(item)]:
-                    owners.append(place[str(item)])
-        self.lengths = np.array([len(w) for w in windows], np.int64)
+            ids = np.array([self.ids.setdefault(w, len(self.ids) + 2) for w in words], np.int32)
+            if len(ids) < WINDOW:
+                own = np.zeros((1, WINDOW), np.int32)  # filled from the right
+                own[0, WINDOW - len(ids) :] = ids
+            else:
+                own = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
+            rows.append(own)
+            owners.append(np.full(len(own), names.setdefault(str(item), len(names)), np.int32))
+        table, owner = np.concatenate(rows), np.concatenate(owners)
+        self.items = list(names)
+        #: Different windows as rows, and of each the places of its items: owners[first[i] : first[i + 1]].
+        self.table, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        both = np.unique(np.stack((which.ravel(), owner), 1), axis=0) if len(table) else np.zeros((0, 2), np.int64)
+        self.owners = both[:, 1]
+        self.first = np.searchsorted(both[:, 0], np.arange(len(self.table) + 1))
+        self.lengths = (self.table > 0).sum(1)
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        #: Windows as rows, filled from the right.
-        self.table = np.zeros((len(windows), WINDOW), np.int64)
-        for n, w in enumerate(windows):
-            self.table[n, WINDOW - len(w) :] = w
-        self.owners = [np.array(sorted(set(o)), np.int64) for o in windows.values()]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -235,84 +240,127 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack((starts[new], ends[last]), 1)
 
 
-def scan_shard(texts: list[bytes], blocks: list) -> list[tuple[int, list[list[int]], list[str]]]:
-    """Of each text: its words, the merged spans of words to remove, and the items found."""
-    words = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    begin = np.concatenate(([0], np.cumsum(counts + 1)))  # a word of no phrase stands after each text
-    spans: list[list] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
-    for block in blocks:
-        phrases: Phrases = block.value
-        if not len(phrases.lengths):
-            continue
-        get = phrases.ids.get
-        ids = np.zeros(int(begin[-1]), np.int64)
-        for n, w in enumerate(words):
-            ids[begin[n] : begin[n] + len(w)] = [get(x, 1) for x in w]
-        ids[begin[1:] - 1] = 1
-        starts, which = find(ids, phrases)
-        doc = np.searchsorted(begin, starts, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        doc, starts, which = doc[order], starts[order], which[order]
-        cuts = np.flatnonzero(np.diff(doc, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-            d = int(doc[a])
-            at = starts[a:b] - begin[d]
-            spans[d].append(np.stack((at, at + phrases.lengths[which[a:b]]), 1))
-            for w in np.unique(which[a:b]):
-                items[d].update(phrases.items[i] for i in phrases.owners[w])
-    out = []
-    for d in range(len(texts)):
-        found = np.concatenate(spans[d]) if spans[d] else np.zeros((0, 2), np.int64)
-        out.append((int(counts[d]), merge(found[:, 0], found[:, 1]).tolist(), sorted(items[d])))
-    return out
-
-
-def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list:
-    """Broadcast blocks of phrases. Their number follows the size of the benchmark; the driver holds one at a time."""
-    spark = benchmark.sparkSession
+class Shard:
+    """Texts of a task as word ids, until there are enough of them for an index."""
+
+    def __init__(self, phrases: Phrases):
+        self.phrases, self.ids, self.counts, self.words = phrases, [], [], 0
+
+    def add(self, texts: list[bytes]) -> None:
+        get = self.phrases.ids.get
+        for t in texts:
+            own = [get(x, 1) for x in words_of(t)]
+            self.counts.append(len(own))
+            self.words += len(own)
+            own.append(1)  # a word of no phrase stands after each text
+            self.ids.append(np.array(own, np.int32))
+
+    def scan(self) -> list[tuple[int, list[list[int]], list[str]]]:
+        """Of each text: its words, the merged spans of words to remove, and the items found."""
+        phrases, n = self.phrases, len(self.counts)
+        begin = np.concatenate(([0], np.cumsum(np.array(self.counts, np.int64) + 1)))
+        spans, items = [np.zeros((0, 2), np.int64)] * n, [[] for _ in range(n)]
+        if len(phrases.lengths) and n:
+            starts, which = find(np.concatenate(self.ids).astype(np.int64), phrases)
+            doc = np.searchsorted(begin, starts, side="right") - 1
+            order = np.argsort(doc, kind="stable")
+            doc, starts, which = doc[order], starts[order], which[order]
+            cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+                d = int(doc[a])
+                at = starts[a:b] - begin[d]
+                spans[d] = merge(at, at + phrases.lengths[which[a:b]])
+                owners = np.concatenate([phrases.owners[phrases.first[w] : phrases.first[w + 1]] for w in np.unique(which[a:b])])
+                items[d] = sorted(phrases.items[i] for i in np.unique(owners))
+        return [(c, s.tolist(), i) for c, s, i in zip(self.counts, spans, items)]
+
+
+def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
+    """(item, text) and the number of blocks."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-size // BLOCK_BYTES))
-    blocks = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        blocks.append(spark.sparkContext.broadcast(Phrases([(r["item"], r["text"].encode()) for r in rows])))
-    return blocks
+    return items, max(1, -(-size // BLOCK_BYTES))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep`, n_words, spans (array of [first word, word after the last]), n_hit, items, n_items and contaminated."""
-    blocks = phrase_blocks(benchmark)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = fields + ", n_words bigint, spans array<array<bigint>>, n_hit bigint, items array<string>, n_items bigint, contaminated boolean"
-    names = [*keep, "n_words", "spans", "n_hit", "items", "n_items", "contaminated"]
+def phrase_block(items: DataFrame, k: int, blocks: int):
+    """The broadcast phrases of a block."""
+    rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
+    return items.sparkSession.sparkContext.broadcast(Phrases([(r["item"], r["text"].encode()) for r in rows]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
 
-        def done() -> pa.RecordBatch:
-            shard = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            found = scan_shard(byte_texts(shard.column("__text")), blocks)
-            hit = [sum(b - a for a, b in s) for _, s, _ in found]
-            out = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array(hit, pa.int64())]
-            out += [pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([len(f[2]) >= MIN_ITEMS for f in found], pa.bool_())]
-            return pa.RecordBatch.from_arrays([shard.column(c) for c in keep] + out, names)
+LIST = pa.list_(pa.list_(pa.int64()))
+FOUND = "n_words bigint, spans array<array<bigint>>, n_hit bigint, items array<string>, n_items bigint, contaminated boolean"
+
+
+def scan(rows: DataFrame, held: list[str], fields: list[str], text: str, block, cut: bool, hits_only: bool) -> DataFrame:
+    """held, and FOUND of each text by one block (with cut, cut_text too); hits_only leaves out the texts without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, kept = Shard(block.value), []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found, at = shard.scan(), 0
+            for batch in kept:
+                own = found[at : at + batch.num_rows]
+                at += batch.num_rows
+                out = [batch.column(c) for c in held]
+                out += [pa.array([f[0] for f in own], pa.int64()), pa.array([f[1] for f in own], LIST), pa.array([sum(b - a for a, b in s) for _, s, _ in own], pa.int64())]
+                out += [pa.array([f[2] for f in own], pa.list_(pa.string())), pa.array([len(f[2]) for f in own], pa.int64()), pa.array([len(f[2]) >= MIN_ITEMS for f in own], pa.bool_())]
+                names = [*held, *(x.split()[0] for x in FOUND.split(", "))]
+                if cut:
+                    out.append(cut_texts(batch.column(text), [f[1] for f in own]))
+                    names.append("cut_text")
+                result = pa.RecordBatch.from_arrays(out, names)
+                yield result.filter(pa.array([bool(f[1]) for f in own])) if hits_only else result
 
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column("__text").nbytes
-            if size >= SHARD_WORDS * 6:
-                yield done()
-                held, size = [], 0
-        if held:
-            yield done()
+            if batch.num_rows:
+                for part in pieces(byte_texts(batch.column(text))):
+                    shard.add(part)
+                kept.append(batch)
+                size += batch.nbytes
+                if shard.words >= SHARD_WORDS or size >= SHARD_WORDS * 6:
+                    yield from done()
+                    shard, kept, size = Shard(block.value), [], 0
+        yield from done()
+
+    return rows.mapInArrow(released(run), ", ".join([*fields, FOUND, *["cut_text string"] * cut]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cut: bool = False) -> DataFrame:
+    """`keep`, n_words, spans (array of [first word, word after the last]), n_hit, items, n_items and contaminated.
+
+    cut: also cut_text, the text without the words of the spans and what stands between them (null where it is null)."""
+    items, blocks = benchmark_items(benchmark)
+    carry = Carry(docs, keep, text=text)
+    at = carry.at["text"]
+    own = [x.split()[0] for x in FOUND.split(", ")] + ["cut_text"] * cut
+    if blocks == 1:
+        return carry.named(scan(carry.rows, carry.held, carry.fields, at, phrase_block(items, 0, 1), cut, False), own)
+    folder = new_path(docs.sparkSession, "blocks")
+    rows = materialize(carry.rows.withColumn("__row", F.monotonically_increasing_id()), "rows", f"{folder}/rows")
+    hits = None
+    for k in range(blocks):
+        block = phrase_block(items, k, blocks)
+        new = materialize(scan(rows, ["__row"], ["__row bigint"], at, block, False, True).select("__row", "spans", "items"), "hits", f"{folder}/{k}")
+        block.destroy()
+        hits = new if hits is None else hits.unionByName(new)
+    merged = hits.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    joined = rows.join(merged, "__row", "left").drop("__row")
+    held = carry.held
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merge(*np.array(s, np.int64).reshape(-1, 2).T).tolist() if s else [] for s in batch.column("__spans").to_pylist()]
+            found = [i or [] for i in batch.column("__items").to_pylist()]
+            counts = [len(words_of(t)) for t in byte_texts(batch.column(at))]
+            out = [batch.column(c) for c in held] + [pa.array(counts, pa.int64()), pa.array(spans, LIST), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array(found, pa.list_(pa.string()))]
+            out += [pa.array([len(f) for f in found], pa.int64()), pa.array([len(f) >= MIN_ITEMS for f in found], pa.bool_())]
+            out += [cut_texts(batch.column(at), spans)] if cut else []
+            yield pa.RecordBatch.from_arrays(out, [*held, *own])
 
-    return docs.select(*keep, docs[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return carry.run(released(finish), FOUND + ", cut_text string" * cut, joined)
 
 
 def items_digest(items) -> F.Column:
@@ -336,13 +384,10 @@ def remove_spans(text: str, spans: list[list[int]]) -> str:
     return b"".join([*out, data[last:]]).decode()
 
 
-def cut_spans(found: DataFrame, text: F.Column) -> DataFrame:
-    """found (with `spans`) and cut_text: text without the spans, null where it is null."""
-    names = found.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cut = [remove_spans(t, s) if t and s else t for t, s in zip(batch.column("__text").to_pylist(), batch.column("spans").to_pylist())]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cut, pa.string())], [*names, "cut_text"])
-
-    return found.withColumn("__text", text.cast("string")).mapInArrow(per_batch(lambda: work), f"{fields}, cut_text string")
+def cut_texts(texts: pa.Array, spans: list[list[list[int]]]) -> pa.Array:
+    """The texts without their spans; only texts that have one are taken out of the column."""
+    at = [i for i, s in enumerate(spans) if s and texts[i].is_valid]
+    if not at:
+        return texts
+    new = dict(zip(at, (remove_spans(texts[i].as_py(), spans[i]) for i in at)))
+    return pa.array([new[i] if i in new else texts[i].as_py() for i in range(len(texts))], pa.string())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import Carry, per_batch, pieces
 
 CUT = 0.5
 SAMPLE_PAGES = 100
@@ -461,15 +461,16 @@ def fit(pages: DataFrame, html: str = "html") -> TreeModel:
 def extract(pages: DataFrame, model: TreeModel, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """`keep`, text and n_chars of every whole page."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
+    carry = Carry(pages, keep, html=html)
+    held, at = carry.held, carry.at["html"]
 
     def make():
         known = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = known.extract(batch.column("__html").to_pylist())
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+            texts = [t for part in pieces([h or "" for h in batch.column(at).to_pylist()]) for t in known.extract(part)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*held, "text", "n_chars"])
 
         return work
 
-    return pages.select(*keep, pages[html].cast("string").alias("__html")).mapInArrow(per_batch(make), f"{fields}, text string, n_chars bigint")
+    return carry.run(per_batch(make), "text string, n_chars bigint")

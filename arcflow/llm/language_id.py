@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import Carry, per_batch, pieces, released
 
 ORDER = 3
 DIMENSIONS = 1 << 16
 #: The sample bound of the classifier: labelled documents of each language, and bytes of text of one batch of it.
 SAMPLE = 1500
-#: Languages that can be learned: the most frequent ones.
+#: Most different labels: the weights of each are broadcast, so more of them are an error (not a language column).
 MAX_LANGUAGES = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-5
@@ -84,21 +84,19 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
         mark = np.zeros(DIMENSIONS, bool)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            if not texts:
-                continue
-            grams, sizes = gram_hashes(texts)
-            at = 0
-            for k in sizes.tolist():
-                mark[grams[at : at + k]] = True
-                df += mark
-                mark[:] = False
-                at += k
-            n += len(texts)
+            for texts in pieces([t or "" for t in batch.column(0).to_pylist()]):
+                grams, sizes = gram_hashes(texts)
+                at = 0
+                for k in sizes.tolist():
+                    mark[grams[at : at + k]] = True
+                    df += mark
+                    mark[:] = False
+                    at += k
+                n += len(texts)
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(df[found], n))], ["gram", "n"])
 
-    rows = train.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = train.select("text").mapInArrow(released(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     grams, n = np.asarray(rows.column("gram")), np.asarray(rows.column("n"))
     df = np.zeros(DIMENSIONS, np.int64)
     df[grams[grams >= 0]] = n[grams >= 0]
@@ -176,7 +174,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learn from the documents with a label that are not held out."""
     train = docs.select(F.col("doc_id").cast("string").alias("id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"))
     train = train.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels")
     if not found:
         return Model([], np.zeros((0, DIMENSIONS)), np.zeros(0), 1.0)
     langs = sorted(r["lang"] for r in found)
@@ -218,15 +218,20 @@ def hash_of(text: str) -> int:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep`, lang_pred and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    carry = Carry(docs, keep, text=text)
+    held, at = carry.held, carry.at["text"]
 
     def make():
         known = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, scores = known.predict([t or "" for t in batch.column("__text").to_pylist()])
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs), pa.array(scores)], [*keep, "lang_pred", "score"])
+            langs, scores = [], []
+            for part in pieces([t or "" for t in batch.column(at).to_pylist()]):
+                found = known.predict(part)
+                langs += found[0]
+                scores.append(found[1])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(langs), pa.array(np.concatenate(scores))], [*held, "lang_pred", "score"])
 
         return work
 
-    return docs.select(*keep, docs[text].cast("string").alias("__text")).mapInArrow(per_batch(make), f"{fields}, lang_pred string, score double")
+    return carry.run(per_batch(make), "lang_pred string, score double")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, byte_texts, delete_path, materialize, new_path, per_batch
+from .common import LOWER, SPACES, Carry, byte_texts, delete_path, materialize, new_path, per_batch, released
 
 MIN_CHARS = 10
 REPLICAS = 16
@@ -123,7 +123,7 @@ def pair(keys: pa.Array | list[bytes]) -> np.ndarray:
 
 
 # -- references ----------------------------------------------------------------------------------
-def line_refs(docs: DataFrame, text: str = "text") -> DataFrame:
+def line_refs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each distinct (key, document)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,7 +135,7 @@ def line_refs(docs: DataFrame, text: str = "text") -> DataFrame:
                 ids += [doc] * len(own)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), docs[text].cast("string")).mapInArrow(per_batch(lambda: work), "key binary, doc_id bigint")
+    return docs.select(docs[doc_id].cast("long"), docs[text].cast("string")).mapInArrow(per_batch(lambda: work), "key binary, doc_id bigint")
 
 
 def counts(refs: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def build_filters(shared: DataFrame, shards: int) -> DataFrame:
         if now is not None:
             yield done()
 
-    return shared.select(shard_of("key", shards), "key").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, filter binary")
+    return shared.select(shard_of("key", shards), "key").repartition("shard").sortWithinPartitions("shard").mapInArrow(released(run), "shard int, filter binary")
 
 
 def probe(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -195,7 +195,7 @@ def probe(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
                     hit = pa.array(known.has(pair(keys[a:b])))
                     yield pa.RecordBatch.from_arrays([keys[a:b].filter(hit), docs[a:b].filter(hit)], ["key", "doc_id"])
 
-    return both.mapInArrow(run, "key binary, doc_id bigint")
+    return both.mapInArrow(released(run), "key binary, doc_id bigint")
 
 
 # -- the store -----------------------------------------------------------------------------------
@@ -261,7 +261,7 @@ class LineStore:
                 yield done()
 
         both = old.unionByName(rows).repartition("shard").sortWithinPartitions("shard", F.col("key").isNotNull())
-        filters = materialize(both.mapInArrow(run, "shard int, filter binary"), "filters", f"{path}/filters")
+        filters = materialize(both.mapInArrow(released(run), "shard int, filter binary"), "filters", f"{path}/filters")
         return LineStore(self.spark, path, refs, self.shards, filters)
 
     def drops(self, refs: DataFrame | None = None) -> DataFrame:
@@ -270,16 +270,16 @@ class LineStore:
         lost = may.join(self.shared, "key").where("doc_id <> first_doc")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    def apply(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", known: bool = True) -> DataFrame:
+    def apply(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", known: bool = True, doc_id: str = "doc_id") -> DataFrame:
         """`keep`, n_lines, n_dropped and kept_text. known: the documents are those of the store."""
-        drops = self.drops(None if known else line_refs(docs, text))
-        held = docs.select(*keep, docs[text].cast("string").alias("__text"), docs["doc_id"].cast("long").alias("__id"))
-        joined = held.join(drops.withColumnsRenamed({"doc_id": "__doc", "keys": "__keys"}), F.col("__id") == F.col("__doc"), "left")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_lines bigint, n_dropped bigint, kept_text string"
+        drops = self.drops(None if known else line_refs(docs, text, doc_id))
+        carry = Carry(docs, keep, text=text, id=docs[doc_id].cast("string"))
+        held, at = carry.held, carry.at["text"]
+        joined = carry.rows.join(drops.withColumnsRenamed({"doc_id": "__doc", "keys": "__keys"}), F.col("__id").cast("long") == F.col("__doc"), "left")
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_lines, n_dropped, kept = [], [], []
-            for t, keys in zip(byte_texts(batch.column("__text")), batch.column("__keys").to_pylist()):
+            for t, keys in zip(byte_texts(batch.column(at)), batch.column("__keys").to_pylist()):
                 lines = t.split(b"\n")
                 stay = lines
                 if keys:
@@ -289,9 +289,9 @@ class LineStore:
                 n_dropped.append(len(lines) - len(stay))
                 kept.append(b"\n".join(stay))
             text_out = pa.array(kept, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), text_out], [*keep, "n_lines", "n_dropped", "kept_text"])
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), text_out], [*held, "n_lines", "n_dropped", "kept_text"])
 
-        return joined.select(*keep, "__text", "__keys").mapInArrow(per_batch(lambda: work), schema)
+        return carry.run(per_batch(lambda: work), "n_lines bigint, n_dropped bigint, kept_text string", joined.drop("__id", "__doc"))
 
     def discard(self) -> None:
         delete_path(self.spark, self.path)

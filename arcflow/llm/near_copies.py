@@ -1,17 +1,24 @@
-"""Groups of near copies: documents whose sets of 5-word shingles have a Jaccard similarity of at least 0.8, closed.
-
-Every such pair is found and verified; nothing rests on a fingerprint's distance.
-
-1. Documents with the same set of shingles are one node, named by a hash of the set.
-2. A set's shingles are put in an order that all sets share. Two sets of similarity >= 0.8 have a shingle in common
-   among the first n - ceil(0.8 n) + 1 of each, so only these are dealt out as keys. The order puts shingles of a low
-   count first; the counts are kept in `SLOTS` hashed slots, which is enough since any shared order is exact.
-3. A key of many nodes is thinned before its pairs are listed: in a star round each of its nodes is compared with one
+"""SimHash near-dedup at a similarity: documents whose sets of word shingles have a Jaccard similarity of at least 4/5
+(or another fraction) link, and links are closed into components.
+
+1. Documents with the same set of shingles are one node, named by a hash of the set; each has the SimHash fingerprint of
+   its set.
+2. The pivot distance tables of `simhash` link the fingerprints within two bits; the sets of these links are compared,
+   and those that are near become edges. That thins dense groups of copies before any pair is listed.
+3. At a similarity of 0.8 fingerprints of 64 bits differ by about ten bits, at which distance the table of a pivot
+   leaves nearly all pairs. So the links beyond two bits are completed exactly: a set's shingles are put in an order that
+   all sets share, and two near sets have a shingle in common among the first n - ceil(4n/5) + 1 of each; only these are
+   dealt out as keys. The order puts shingles of a low count first; the counts are kept in `SLOTS` hashed slots, which is
+   enough since any shared order is exact.
+4. A key of many nodes is thinned before its pairs are listed: in a star round each of its nodes is compared with one
    node of the key, and what links becomes one component. Then all pairs of a key that lie in different components,
    and that their sizes and places allow, are listed and verified, however many they are.
 
-Defined results: a text without words is a near copy of every other such text; a text of up to five words has one
-shingle; a component whose documents all lack a doc_id has a null component_id; repeated rows are all returned.
+Shingles are combined from the XXH64 values of their words, 64 bits wide; sets are compared by these values.
+
+Defined results: a text without words is a near copy of every other such text; a text of fewer words than a shingle has
+one shingle; a component whose documents all lack a doc_id has a null component_id; repeated rows are all returned; a
+kept column called fingerprint or component_id comes back as input_<name>.
 """
 
 from __future__ import annotations
@@ -24,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import byte_texts, materialize, per_batch
-from .simhash import components, shingle_hashes
+from .common import LOWER, Carry, byte_texts, materialize, per_batch, pieces, released
+from .simhash import SEED, components, links, majority
 
 SHINGLE = 5
 #: The least similarity as a fraction.
@@ -36,114 +43,188 @@ SLOTS = 1 << 18
 PAIRS_A_ROW = 16
 #: Shingles that a verifying task keeps of the texts before.
 HELD = 1 << 20
+#: Words whose hashes a worker keeps.
+WORDS = 1 << 16
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+MIXER = np.uint64(0xFF51AFD7ED558CCD)
+
+
+class WordHashes(dict):
+    """XXH64 of words, kept for the next time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word, SEED)
+        return found
+
+
+def shingle_sets(texts: list[bytes], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's different shingles, sorted, one text after another, and how many each has."""
+    flat: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        words = t.translate(LOWER).split()
+        counts[i] = len(words)
+        flat += [known[w] for w in words]
+    h = np.array(flat + [0] * size, np.uint64)
+    n = len(flat)
+    whole = np.minimum(counts, size)
+    first = np.cumsum(counts) - counts
+    sizes = counts - whole + (counts > 0)
+    starts = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    width = np.repeat(whole, sizes)
+    value = width.astype(np.uint64)
+    for k in range(size):
+        # A text shorter than a shingle is combined of the words it has.
+        value = np.where(k < width, (value + h[np.minimum(starts + k, n)]) * FACTOR, value)
+        value ^= value >> np.uint64(29)
+    value *= MIXER
+    value ^= value >> np.uint64(32)
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        value[a:b].sort()
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    return value[new], np.bincount(doc[new], minlength=len(texts)).astype(np.int64)
+
+
+def runs_of(batch_texts: list[bytes], size: int, known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """shingle_sets of pieces of a batch, so that what is held stays small."""
+    for part in pieces(batch_texts):
+        yield shingle_sets(part, size, known)
+
+
+def each(hashes: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        yield hashes[a:b]
+
+
+def prefix_length(n: np.ndarray, near: tuple[int, int]) -> np.ndarray:
+    return np.where(n > 0, n + (-near[0] * n) // near[1] + 1, 0)
+
+
+def named(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """rows with id (the hash of the text's set of shingles) and fp (the set's fingerprint)."""
+    names = rows.columns
 
+    def make():
+        known = WordHashes()
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """The sorted hashes of the text's shingles."""
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
-
-
-def prefix_length(n: int) -> int:
-    return n - -(-NEAR[0] * n // NEAR[1]) + 1 if n else 0
-
-
-def named(docs: DataFrame, text: Column, keep: tuple[str, ...]) -> DataFrame:
-    """`keep` and id, the hash of the text's set of shingles."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, fps = [], []
+            for hashes, sizes in runs_of(byte_texts(batch.column(text)), size, known):
+                ids += [xxh64_intdigest(x.tobytes()) for x in each(hashes, sizes)]
+                fps.append(majority(hashes, sizes))
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.concatenate(fps).view(np.int64))], [*names, "id", "fp"])
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = np.array([xxh64_intdigest(shingle_set(t).tobytes()) for t in byte_texts(batch.column("__text"))], np.uint64)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids.view(np.int64))], [*keep, "id"])
+        return work
 
-    return docs.select(*keep, text.cast("string").alias("__text")).mapInArrow(per_batch(lambda: work), f"{fields}, id bigint")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(per_batch(make), f"{fields}, id bigint, fp bigint")
 
 
-def slot_counts(texts: DataFrame) -> np.ndarray:
+def slot_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many sets have a shingle of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts, known = np.zeros(SLOTS, np.int64), WordHashes()
         for batch in batches:
-            for t in byte_texts(batch.column("text")):
-                np.add.at(counts, (shingle_set(t) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+            for hashes, _ in runs_of(byte_texts(batch.column(0)), size, known):
+                counts += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["slot", "n"])
 
-    found = texts.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(released(run), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
     return counts
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
+def prefixes(texts: DataFrame, size: int, near: tuple[int, int]) -> DataFrame:
     """(key, id, size, place): the shingles of each set that come first in the shared order."""
-    held = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
+    shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, size))
 
     def make():
-        counts = held.value
+        counts, known = np.minimum(shared.value, (1 << 24) - 1).astype(np.uint64), WordHashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, sizes = [np.zeros(0, np.uint64)], []
-            for t in byte_texts(batch.column("text")):
-                own = shingle_set(t)
-                sizes.append(len(own))
-                order = np.lexsort((own, counts[(own & np.uint64(SLOTS - 1)).astype(np.int64)]))
-                keys.append(own[order[: prefix_length(len(own))]])
-            n = np.array([len(k) for k in keys[1:]], np.int64)
+            keys, sets = [], []
+            for hashes, sizes in runs_of(byte_texts(batch.column(1)), size, known):
+                # By count, then by hash: the sets are sorted, and the sort below keeps that order in ties.
+                order = (counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(40)) | (hashes >> np.uint64(24))
+                for own, by, k in zip(each(hashes, sizes), each(order, sizes), prefix_length(sizes, near).tolist()):
+                    keys.append(own[np.argsort(by, kind="stable")[:k]])
+                sets.append(sizes)
+            sizes = np.concatenate(sets)
+            n = np.array([len(k) for k in keys], np.int64)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            ids = np.repeat(np.asarray(batch.column("id")), n)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "id", "size", "place"])
+            ids = np.repeat(np.asarray(batch.column(0)), n)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "id", "size", "place"])
 
         return work
 
     return texts.select("id", "text").mapInArrow(per_batch(make), "key bigint, id bigint, size int, place int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a similarity of at least NEAR."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, near: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of a similarity of at least near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
+        sets: dict[int, np.ndarray] = {}
+        held, known = 0, WordHashes()
         for batch in batches:
             keep = []
             sides = [(batch.column(c).to_pylist(), byte_texts(batch.column(f"text_{c}"))) for c in ("a", "b")]
             for i in range(batch.num_rows):
                 own = []
                 for ids, found in sides:
-                    one = known.get(ids[i])
+                    one = sets.get(ids[i])
                     if one is None:
-                        one = shingle_set(found[i])
+                        one = shingle_sets([found[i]], size, known)[0]
                         if held > HELD:
-                            known, held = {}, 0
-                        known[ids[i]] = one
+                            sets, held = {}, 0
+                        sets[ids[i]] = one
                         held += len(one)
                     own.append(one)
                 x, y = own
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both):
+                if near[1] * both >= near[0] * (len(x) + len(y) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a bigint, b bigint")
 
 
-def sizes_allow(a: str, b: str) -> Column:
-    return (F.col(a) * NEAR[1] >= F.col(b) * NEAR[0]) & (F.col(b) * NEAR[1] >= F.col(a) * NEAR[0])
+def sizes_allow(a: str, b: str, near: tuple[int, int]) -> Column:
+    return (F.col(a) * near[1] >= F.col(b) * near[0]) & (F.col(b) * near[1] >= F.col(a) * near[0])
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of sets that the pivot tables of the fingerprints link: sets of one fingerprint with its first, and firsts."""
+    firsts = materialize(sets.groupBy("fp").agg(F.min("id").alias("first")), "prints")
+    same = sets.join(firsts, "fp").where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    linked = links(firsts.select("fp"))
+    for c in ("a", "b"):
+        linked = linked.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"id_{c}")), c)
+    return same.unionByName(linked.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))).dropDuplicates()
 
 
-def star_pairs(now: DataFrame, turn: int) -> DataFrame:
+def star_pairs(now: DataFrame, turn: int, near: tuple[int, int]) -> DataFrame:
     """Each node of a key with one node of the key, another one each turn."""
     first = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root", "size"))
     leaders = now.groupBy("key").agg(first.alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     leaders = leaders.select("key", F.col("l.id").alias("l_id"), F.col("l.root").alias("l_root"), F.col("l.size").alias("l_size"))
-    met = now.join(leaders, "key").where((F.col("root") != F.col("l_root")) & sizes_allow("size", "l_size"))
+    met = now.join(leaders, "key").where((F.col("root") != F.col("l_root")) & sizes_allow("size", "l_size", near))
     return met.select(F.greatest("id", "l_id").alias("a"), F.least("id", "l_id").alias("b")).dropDuplicates()
 
 
-def cross_pairs(now: DataFrame, parts: DataFrame) -> DataFrame:
+def cross_pairs(now: DataFrame, parts: DataFrame, near: tuple[int, int]) -> DataFrame:
     """All pairs of a key that lie in different components and can be near by their sizes and places.
 
     Components of a key are paired first, so the nodes of one component never meet."""
@@ -151,42 +232,46 @@ def cross_pairs(now: DataFrame, parts: DataFrame) -> DataFrame:
     met = left.join(right, "key").where("x_root < y_root")
     for s in ("x", "y"):
         met = met.join(now.select("key", F.col("root").alias(f"{s}_root"), F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("place").alias(f"{s}_place")), ["key", f"{s}_root"])
-    # From the first shingle that both have on, the rest must hold NEAR / (1 + NEAR) of both sizes.
+    # From the first shingle that both have on, the rest must hold near / (1 + near) of both sizes.
     rest = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
-    met = met.where(sizes_allow("x_size", "y_size") & (rest * sum(NEAR) >= (F.col("x_size") + F.col("y_size")) * NEAR[0]))
+    met = met.where(sizes_allow("x_size", "y_size", near) & (rest * sum(near) >= (F.col("x_size") + F.col("y_size")) * near[0]))
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).dropDuplicates()
 
 
-def groups(docs: DataFrame, text: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` (with doc_id) and component_id, the least doc_id of the near copies. text: of the columns in `keep`."""
-    sets = materialize(named(docs, text, keep), "sets")
-    texts = sets.select("id", text.cast("string").alias("text"))
-    dealt = materialize(prefixes(texts), "prefixes")
+def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
+    """`keep`, fingerprint (hex) and component_id, the least doc_id of the near copies."""
+    carry = Carry(docs, keep, text=text, id=docs[doc_id].cast("long"))
+    sets = materialize(named(carry.rows, carry.at["text"], size), "sets")
+    texts = sets.select("id", F.col(carry.at["text"]).alias("text"))
+    dealt = materialize(prefixes(texts, size, near), "prefixes")
     shared = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     rows = materialize(dealt.join(shared, "key").dropDuplicates(["key", "id"]), "candidates")
-    wanted = rows.select("id").dropDuplicates()
+    wanted = materialize(rows.select("id").dropDuplicates(), "wanted")
     texts = materialize(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    edges, roots, turn, before = None, None, 0, None
+    # Sets that share no key are near to none, so the fingerprints of the others suffice.
+    prints = sets.select("id", "fp").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    edges = materialize(verified(print_pairs(materialize(prints, "nodes")), texts, size, near), "near")
+    turn, before = 0, None
     while True:
-        now = rows.withColumn("root", F.col("id"))
-        if roots is not None:
-            now = rows.join(roots, F.col("id") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
+        roots = materialize(components(edges), "roots")
+        now = rows.join(roots, F.col("id") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
         parts = now.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
         all_of = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         total = all_of.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)).alias("pairs")).first()
         # Once the stars no longer halve the pairs, all that are left are listed.
         last = total["pairs"] <= PAIRS_A_ROW * total["n"] or (before is not None and total["pairs"] > before / 2)
         before = total["pairs"]
-        pairs = materialize(cross_pairs(now, parts) if last else star_pairs(now, turn), "pairs")
-        new = verified(pairs, texts)
-        edges = materialize(new if edges is None else new.unionByName(edges), "near")
-        roots = components(edges)
+        pairs = materialize(cross_pairs(now, parts, near) if last else star_pairs(now, turn, near), "pairs")
+        edges = materialize(verified(pairs, texts, size, near).unionByName(edges), "near")
         if last:
             break
         turn += 1
-    firsts = sets.groupBy("id").agg(F.min("doc_id").alias("first"))
-    firsts = materialize(firsts.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")), "firsts")
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    # A table of its own, so that the join below can split a set that many of the rows may share.
-    ids = materialize(firsts.join(least, "root").select("id", "component_id"), "ids")
-    return sets.join(ids, "id").select(*keep, "component_id")
+    roots = components(edges)
+    firsts = sets.groupBy("id").agg(F.min(F.col("__id").cast("long")).alias("first"), F.count("*").alias("rows"))
+    firsts = materialize(firsts.join(roots, F.col("id") == F.col("node"), "left").select("id", "first", "rows", F.col("root")), "firsts")
+    least = firsts.where("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
+    # Only sets that are linked or shared need a row; a table of its own lets the join below split a set of many rows.
+    some = firsts.where("rows > 1 or root is not null").join(least, "root", "left").select("id", F.coalesce("component_id", "first").alias("component"))
+    ids = materialize(some, "ids")
+    found = sets.join(ids, "id", "left").select(*carry.held, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", F.col("__id").cast("long")).alias("component_id"))
+    return carry.named(found, ["fingerprint", "component_id"])

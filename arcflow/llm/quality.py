@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, per_batch
+from .common import LOWER, Carry, byte_texts, per_batch, released
 
 WINDOW = 5
 MIN_TOTAL_WORDS = 10
@@ -32,8 +32,8 @@ MAX_REPEATED = 20
 MIN_WORDS = 50
 #: Common words of each language.
 COMMON = 64
-#: Languages with a reference: the most frequent ones, so that what is broadcast stays bounded.
-MAX_LANGUAGES = 256
+#: Most different labels: a reference is broadcast for each, so more of them are an error (not a language column).
+MAX_LANGUAGES = 4096
 #: Jensen-Shannon distances above which a text is rejected.
 MAX_CLASS_DISTANCE = 0.31
 MAX_WORD_DISTANCE = 0.48
@@ -120,11 +120,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 # -- references ----------------------------------------------------------------------------------
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of one task by language: of classes (kind c), words (w) and documents (d). Flushed when large."""
-    sums: dict[tuple, float] = {}
+    sums: dict[tuple, int] = {}
 
     def flush() -> pa.RecordBatch:
         keys = list(sums)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.binary()), pa.array([round(v * 1000) for v in sums.values()], pa.int64())], ["lang", "kind", "item", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.binary()), pa.array(list(sums.values()), pa.int64())], ["lang", "kind", "item", "n"])
         sums.clear()
         return out
 
@@ -133,14 +133,15 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.split()
             if lang is None or fails(len(words), repeated_words(words)):
                 continue
-            share = min(1.0, SHARE / len(words))
+            # Whole thousandths for each text, so the sums do not depend on how the texts are dealt to tasks.
+            part = lambda n, size=max(SHARE, len(words)): 1000 * n * SHARE // size
             for i, n in enumerate(class_histogram(text).tolist()):
                 if n:
                     k = (lang, "c", b"%d" % i)
-                    sums[k] = sums.get(k, 0) + n * share
+                    sums[k] = sums.get(k, 0) + part(n)
             for w, n in Counter(text.translate(LOWER).split()).items():
                 k = (lang, "w", w)
-                sums[k] = sums.get(k, 0) + n * share
+                sums[k] = sums.get(k, 0) + part(n)
             sums[lang, "d", b""] = sums.get((lang, "d", b""), 0) + 1
         if len(sums) > 150_000:
             yield flush()
@@ -183,15 +184,15 @@ class References:
 
 def references(docs: DataFrame) -> References:
     """Learn the references from all documents. What reaches the driver is bounded by MAX_LANGUAGES and COMMON."""
-    sums = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(gather, "lang string, kind string, item binary, n bigint")
+    sums = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(released(gather), "lang string, kind string, item binary, n bigint")
     sums = sums.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    if sums.where("kind = 'd'").limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels")
     total = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     top = sums.withColumn("place", place).where(F.col("place") <= COMMON).drop("place")
     rows = top.join(total, ["lang", "kind"]).collect() if not docs.isStreaming else []
-    documents = sorted(((r["n"], r["lang"]) for r in rows if r["kind"] == "d"), reverse=True)[:MAX_LANGUAGES]
-    kept = {lang for _, lang in documents}
-    return References([(r["lang"], r["kind"], bytes(r["item"]), r["n"], r["total"]) for r in rows if r["lang"] in kept])
+    return References([(r["lang"], r["kind"], bytes(r["item"]), r["n"], r["total"]) for r in rows])
 
 
 # -- judging -------------------------------------------------------------------------------------
@@ -201,23 +202,23 @@ REPORT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 def judge(docs: DataFrame, refs: References, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang") -> DataFrame:
     """`keep` and the report of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + REPORT
-    names = [*keep, *(x.split()[0] for x in REPORT.split(", "))]
+    carry = Carry(docs, keep, text=text, lang=lang)
+    held, at, names = carry.held, carry.at, [*carry.held, *(x.split()[0] for x in REPORT.split(", "))]
 
     def make():
         known = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for lang, text in zip(batch.column("__lang").to_pylist(), byte_texts(batch.column("__text"))):
+            for lang, text in zip(batch.column(at["lang"]).to_pylist(), byte_texts(batch.column(at["text"]))):
                 words = text.split()
                 chars, symbols, dup, repeat = base_counts(text, words)
                 bad = fails(len(words), repeat)
                 name, by_class, by_word = known.distances(lang, text) if len(words) >= MIN_WORDS else (None, 0.0, 0.0)
                 out.append((len(words), chars, symbols, dup, repeat, bad, not bad and by_class <= MAX_CLASS_DISTANCE and by_word <= MAX_WORD_DISTANCE, name, by_class, by_word))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
-            return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
         return work
 
-    return docs.select(*keep, docs[text].cast("string").alias("__text"), docs[lang].cast("string").alias("__lang")).mapInArrow(per_batch(make), schema)
+    return carry.run(per_batch(make), REPORT)

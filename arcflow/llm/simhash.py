@@ -3,29 +3,35 @@
 A text's fingerprint is the bitwise majority of the XXH64 values of its word shingles. Fingerprints that differ in at
 most `MAX_BITS` bits link, and links are closed into components.
 
-Pairs are found among different fingerprints only:
-
-1. Fingerprints are dealt by 32 of their bits: of four blocks of 16 bits, a pair within two bits shares at least two
-   blocks, so it meets under one of six keys.
-2. Under a key, a table holds each fingerprint's Hamming distances to `PIVOTS` reference fingerprints. By the triangle
-   inequality the distances of a linked pair to any pivot differ by no more than MAX_BITS: the table is sorted by the
-   first pivot, whose window proposes pairs, the largest difference over the others discards them, and the survivors
-   are compared bit by bit.
-3. A key with more than `DIRECT` fingerprints is dealt again by two of four blocks of the bits in which they differ,
-   so even a large ball of near copies is never compared pair by pair. This is exact: nothing is capped.
-
-A key hands on at most one link for each fingerprint (to the root of its part of the key), which keeps links linear in
+Pairs are found among different fingerprints only, by their Hamming distances to pivots. By the triangle inequality the
+distances of a linked pair to any pivot differ by no more than MAX_BITS, so:
+
+1. Cells: a pivot cuts a cell in two at a distance m, into the fingerprints up to m + MAX_BITS and those beyond m. Of a
+   linked pair both lie in at least one half. `levels` fixed pivots deal all fingerprints to cells in one pass.
+2. A cell of more than `FULL` fingerprints is cut again, by a pivot out of the cell itself and at the median distance,
+   round by round and spread over the cluster, until none is left. What lies within MAX_BITS of its pivot links to it,
+   so a cell that is nothing but that is done. Where cuts do not help (a ball in which all distances are alike), the
+   cell's fingerprints are dealt to blocks, and the blocks to pairs of blocks. Every way is exact; nothing is capped.
+3. Within a cell, a table holds each fingerprint's distances to `PIVOTS` references: it is sorted by the first, whose
+   window proposes pairs, the largest difference over the others discards them, and the survivors are compared bit by
+   bit (`table_share` tells how many pairs the table leaves).
+
+A cell hands on at most one link for each fingerprint (to the root of its part of the cell), which keeps links linear in
 the input. Components are closed by alternating large-star and small-star rounds on DataFrames, each written to the
 shared folder.
 
+With `similarity`, documents link by the Jaccard similarity of their sets of shingles instead (see `near_copies`).
+
 Defined results: a null or empty text has fingerprint zero and links like any other; a component whose documents all
-lack a doc_id has a null component_id; repeated rows are all returned.
+lack a doc_id has a null component_id; repeated rows are all returned; a kept column called fingerprint or component_id
+comes back as input_<name>.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, byte_texts, delete_path, materialize, new_path, per_batch
+from .common import LOWER, Carry, byte_texts, delete_path, materialize, new_path, per_batch, released
 
 SHINGLE = 3
 MAX_BITS = 2
 PIVOTS = 12
-#: Fingerprints under one key that are compared by one pivot table.
-DIRECT = 2048
+#: Fingerprints that the fixed pivots aim at in a cell, and from which on a cell is cut again.
+CELL, FULL = 2048, 16384
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
 
@@ -81,23 +87,32 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE) -> DataFrame:
     """`keep` and fp (the fingerprint's bits as a bigint)."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    carry = Carry(docs, keep, text=text)
+    held, at = carry.held, carry.at["text"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_hashes(t, size) for t in byte_texts(batch.column("__text"))]
+        found = [shingle_hashes(t, size) for t in byte_texts(batch.column(at))]
         flat = np.fromiter((h for f in found for h in f), np.uint64)
         fp = majority(flat, np.array([len(f) for f in found], np.int64))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(fp.view(np.int64))], [*held, "fp"])
 
-    return docs.select(*keep, docs[text].cast("string").alias("__text")).mapInArrow(per_batch(lambda: work), f"{fields}, fp bigint")
+    return carry.run(per_batch(lambda: work), "fp bigint")
 
 
 # -- links ---------------------------------------------------------------------------------------
-def pivots() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+def pivots(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
+
 
+#: The references of the tables, and those that deal cells.
+REFERENCES, DEALERS = pivots(PIVOTS, SEED), pivots(32, SEED + 1)
 
-REFERENCES = pivots()
+
+def table_share(fps: np.ndarray) -> float:
+    """The share of all pairs of different fingerprints that the table leaves to be compared bit by bit."""
+    table = np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int16)
+    left = sum(int((np.abs(table[i + 1 :] - table[i]) <= MAX_BITS).all(1).sum()) for i in range(len(fps)))
+    return left / max(1, len(fps) * (len(fps) - 1) // 2)
 
 
 def pivot_pairs(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,74 +150,101 @@ def union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[max(x, y)] = min(x, y)
 
 
-def link(fps: np.ndarray, at: np.ndarray, root: np.ndarray) -> None:
-    """Join the classes of all fingerprints fps[at] that link."""
-    own = fps[at]
-    if len(at) <= DIRECT:
-        for a, b in pivot_pairs(own):
-            union(root, at[a], at[b])
-        return
-    differ = int(np.bitwise_or.reduce(own ^ own[0]))
-    places = [i for i in range(64) if differ >> i & 1]
-    if len(places) <= MAX_BITS:
-        union(root, at[:-1], at[1:])
-        return
-    blocks = [places[i::4] for i in range(4)]
-    for pair in combinations(blocks, 2):
-        mask = np.uint64(sum(1 << i for block in pair for i in block))
-        key = own & mask
-        order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        for part in np.split(order, cuts):
-            if len(part) > 1:
-                link(fps, at[part], root)
-
-
-def key_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links under each key. Rows come sorted by key; only one key's fingerprints are held, eight bytes each."""
-
-    def close(pieces: list[np.ndarray], out: list[np.ndarray]) -> None:
-        fps = np.unique(np.concatenate(pieces))
-        if len(fps) > 1:
-            root = np.arange(len(fps))
-            link(fps, root.copy(), root)
-            while (root[root] != root).any():
-                root = root[root]
-            linked = np.flatnonzero(root != np.arange(len(fps)))
-            if len(linked):
-                out.append(np.stack((fps[linked], fps[root[linked]])))
+def cell_links(fps: np.ndarray) -> np.ndarray | None:
+    """(2, n): each linked fingerprint of a cell with the root of its part of the cell."""
+    fps = np.unique(fps)
+    root = np.arange(len(fps))
+    for a, b in pivot_pairs(fps):
+        union(root, a, b)
+    while (root[root] != root).any():
+        root = root[root]
+    linked = np.flatnonzero(root != np.arange(len(fps)))
+    return np.stack((fps[linked], fps[root[linked]])) if len(linked) else None
+
+
+def links_of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each cell. Rows come sorted by cell; only one cell's fingerprints are held, eight bytes each."""
+
+    def close(pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = cell_links(np.concatenate(pieces)) if pieces else None
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["a", "b"])
 
     held: list[np.ndarray] = []
     now = None
-    out: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        block, key, fp = (np.asarray(batch.column(c)) for c in range(3))
-        new = np.flatnonzero((np.diff(block) != 0) | (np.diff(key) != 0)) + 1
+        cell, fp = (np.asarray(batch.column(c)) for c in range(2))
+        new = np.flatnonzero(np.diff(cell) != 0) + 1
         for a, b in zip([0, *new], [*new, len(fp)]):
-            if (block[a], key[a]) != now:
-                if held:
-                    close(held, out)
-                now, held = (block[a], key[a]), []
-            held.append(fp[a:b].view(np.uint64))
-        if out:
-            both = np.concatenate(out, axis=1).view(np.int64)
-            out = []
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-    if held:
-        close(held, out)
-    if out:
-        both = np.concatenate(out, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            if cell[a] != now:
+                yield from close(held)
+                now, held = cell[a], []
+            held.append(fp[a:b].view(np.uint64).copy())
+    yield from close(held)
+
+
+def deal_cells(distinct: DataFrame, levels: int) -> DataFrame:
+    """(cell, fp): the fingerprints in the cells of the first fixed pivots, cut at the mean distance 31.5."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.asarray(batch.column(0)).view(np.uint64)
+        cell = np.zeros(len(fp), np.int64)
+        for p in DEALERS[:levels]:
+            d = np.bitwise_count(fp ^ p)
+            near, far = d <= 31 + MAX_BITS, d > 31
+            fp, cell = np.concatenate((fp[near], fp[far])), np.concatenate((2 * cell[near], 2 * cell[far] + 1))
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp.view(np.int64))], ["cell", "fp"])
+
+    return distinct.select("fp").mapInArrow(per_batch(lambda: work), "cell bigint, fp bigint")
+
+
+def cut_cells(full: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, fp) of the halves (or pairs of blocks) of overfull cells, and the links (a, b) to their pivots.
+
+    The median is an approximate one: where a cell is cut affects its cost only."""
+    reference = full.groupBy("cell").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("pivot"))).alias("p")).select("cell", "p.pivot")
+    far = full.join(reference, "cell").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))))
+    far = materialize(far, "distances")
+    span = far.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("most"), F.percentile_approx("d", F.lit(0.5)).alias("m"))
+    span = span.withColumn("m", F.least("m", F.col("most") - MAX_BITS - 1))
+    halves = far.join(span.drop("n", "most"), "cell").groupBy("cell").agg(F.count_if(F.col("d") <= F.col("m") + MAX_BITS).alias("near"), F.count_if(F.col("d") > F.col("m")).alias("far"))
+    span = materialize(span.join(halves, "cell").withColumn("bad", (F.col("near") + F.col("far") > 1.5 * F.col("n")) | (F.greatest("near", "far") > 0.9 * F.col("n"))), "cuts")
+    to_pivot = far.where((F.col("d") <= MAX_BITS) & (F.col("d") > 0)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    rows = far.join(span.where(f"most > {MAX_BITS}"), "cell")
+    sides = F.array_compact(F.array(F.when(F.col("d") <= F.col("m") + MAX_BITS, 0), F.when(F.col("d") > F.col("m"), 1)))
+    blocks = F.ceil(F.col("n") / (FULL // 4)).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(turn), F.lit("block")), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * 65536 + F.greatest(own, j) + 2)
+    part = F.explode(F.when(F.col("bad"), pairs).otherwise(sides)).alias("part")
+    return rows.select("cell", "fp", "bad", part).select(F.xxhash64("cell", "part", F.lit(turn)).alias("cell"), "fp", "bad"), to_pivot
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints whose closure is that of all links."""
-    part = lambda k: F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), (part(a) * 65536 + part(b)).alias("key")) for i, (a, b) in enumerate(combinations(range(4), 2))))
-    dealt = distinct.select(F.explode(keys).alias("k"), "fp").select("k.block", "k.key", "fp")
-    return dealt.repartition("block", "key").sortWithinPartitions("block", "key").mapInArrow(key_links, "a bigint, b bigint").where("a <> b").dropDuplicates()
+    n = distinct.count()
+    levels = min(len(DEALERS), max(0, ceil(log(max(1, n / CELL)) / log(1 / 0.6))))
+    cells = materialize(deal_cells(distinct, levels), "cells")
+    ready, found, turn = [], [], 0
+    while True:
+        full = materialize(cells.groupBy("cell").count().where(F.col("count") > FULL).select("cell"), "full")
+        if full.isEmpty():
+            ready.append(cells)
+            break
+        ready.append(cells.join(full, "cell", "left_anti"))
+        cut, to_pivot = cut_cells(cells.join(full, "cell"), turn)
+        cut = materialize(cut, "cells")
+        found.append(to_pivot)
+        ready.append(cut.where("bad").drop("bad"))
+        cells, turn = cut.where("not bad").drop("bad"), turn + 1
+    every = ready[0]
+    for x in ready[1:]:
+        every = every.unionByName(x)
+    out = every.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(links_of_cells), "a bigint, b bigint")
+    for x in found:
+        out = out.unionByName(x)
+    return out.where("a <> b").dropDuplicates()
 
 
 # -- components ----------------------------------------------------------------------------------
@@ -234,14 +276,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).dropDuplicates())
 
 
-def cluster(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """`keep` (with doc_id), fingerprint (hex) and component_id."""
-    prints = materialize(fingerprints(docs, keep, text, size), "fingerprints")
-    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+def cluster(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE, doc_id: str = "doc_id", similarity: tuple[int, int] | None = None) -> DataFrame:
+    """`keep`, fingerprint (hex) and component_id, the least doc_id of the component.
+
+    similarity: a fraction (4, 5) of at least a half; documents link by the Jaccard similarity of their shingle sets."""
+    if similarity:
+        from .near_copies import groups
+
+        return groups(docs, keep, text, doc_id, size, similarity)
+    carry = Carry(docs, keep, text=text, id=docs[doc_id].cast("long"))
+    held, at = carry.held, carry.at["text"]
+    prints = fingerprints(carry.rows, (*held, "__id"), at, size)
+    prints = materialize(prints, "fingerprints")
+    firsts = materialize(prints.groupBy("fp").agg(F.min(F.col("__id").cast("long")).alias("first")), "firsts")
     roots = components(links(firsts.select("fp")))
     named = roots.join(firsts, F.col("node") == F.col("fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     # A table of its own, so that the join below can split a fingerprint that a third of the rows may share.
     ids = materialize(firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "ids")
-    return prints.join(ids, "fp").select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = prints.join(ids, "fp").select(*held, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return carry.named(found, ["fingerprint", "component_id"])

@@ -23,6 +23,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.-/_"
 #: Symbols: the letters of the alphabet from 1 on, then any other character, and 0 before the beginning.
 SYMBOLS = len(ALPHABET) + 2
@@ -96,19 +98,23 @@ def ratio(codes: Column, table: Column) -> Column:
 
 def judge(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """`keep`, host, path, rule, verdict and ratio."""
+    own = ["host", "path", "rule", "verdict", "ratio"]
+    kept = [f"__k{i}" for i in range(len(keep))]
     host, path = split_url(pages[url].cast("string"))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
+    rows = pages.select(*(pages[c].alias(k) for c, k in zip(keep, kept)), host.alias("host"), path.alias("path"))
     name, says = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "verdict": says})
     codes = grams(symbols(F.col("host"), F.col("path")))
     labelled = rows.where("verdict is not null").select("verdict", codes.alias("grams"))
     table = model(labelled)
     if table is None:
-        return rows.select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("ratio"))
-    # The optimizer folds the text into one constant array of the plan.
-    held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    means = labelled.select("verdict", ratio(F.col("grams"), held).alias("r")).groupBy("verdict").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s")).collect()
-    m, s = {r["verdict"]: r["m"] for r in means}, {r["verdict"]: r["s"] + 1e-9 for r in means}
-    threshold = (m["block"] * s["allow"] + m["allow"] * s["block"]) / (s["allow"] + s["block"])
-    scored = rows.withColumn("ratio", ratio(codes, held))
-    return scored.select(*keep, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("ratio") >= threshold, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "ratio")
+        found = rows.withColumns({"verdict": F.coalesce("verdict", F.lit("allow")), "ratio": F.lit(0.0)})
+    else:
+        # The optimizer folds the text into one constant array of the plan.
+        held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+        means = labelled.select("verdict", ratio(F.col("grams"), held).alias("r")).groupBy("verdict").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s")).collect()
+        m, s = {r["verdict"]: r["m"] for r in means}, {r["verdict"]: r["s"] + 1e-9 for r in means}
+        threshold = (m["block"] * s["allow"] + m["allow"] * s["block"]) / (s["allow"] + s["block"])
+        found = rows.withColumn("ratio", ratio(codes, held))
+        found = found.withColumn("verdict", F.coalesce("verdict", F.when(F.col("ratio") >= threshold, F.lit("allow")).otherwise(F.lit("block"))))
+    return found.select(*(F.col(k).alias(n) for k, n in zip(kept, free_names(keep, own))), *own)

@@ -3,10 +3,9 @@ import random
 import pytest
 
 pytest.importorskip("xxhash")
-from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from arcflow.llm import near_copies  # noqa: E402
+from arcflow.llm import near_copies, simhash  # noqa: E402
 
 
 def shingles(text):
@@ -70,5 +69,5 @@ def test_star_rounds_lose_no_link(spark, monkeypatch):
     rows = list(enumerate(rows))
     monkeypatch.setattr(near_copies, "PAIRS_A_ROW", 1)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = near_copies.groups(docs, F.col("text"), keep=("doc_id", "text"))
+    got = simhash.cluster(docs, keep=("doc_id", "text"), size=5, similarity=(4, 5))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute(rows)

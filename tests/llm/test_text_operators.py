@@ -43,7 +43,7 @@ def test_bpe_scan_and_heap_agree():
 
 
 def test_bpe_over_rows(spark, docs):
-    out = rows(bpe.encode_decode(docs, word_bpe(), keep=("doc_id", "n_words"), whole=True))
+    out = rows(bpe.encode_decode(docs, word_bpe(), keep=("doc_id", "n_words"), ids=True, decoded=True))
     assert len(out) == docs.count()
     by = {r["doc_id"]: r for r in out}
     assert by[4]["n_tokens"] == by[5]["n_tokens"] == 0
@@ -188,26 +188,38 @@ def test_majority_over_255_hashes():
         at += n
 
 
-@pytest.mark.parametrize("direct", [8, 4096])
-def test_links_of_a_large_ball(monkeypatch, direct):
-    """Many near fingerprints under one key: split recursively or compared at once, the classes are those of all pairs."""
-    monkeypatch.setattr(simhash, "DIRECT", direct)
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 64, 5, dtype=np.uint64)
-    fps = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, (60, 2)).astype(np.uint64), axis=1) for b in base]))
-    root = np.arange(len(fps))
-    simhash.link(fps, root.copy(), root)
-    while (root[root] != root).any():
-        root = root[root]
+def closed_links(fps):
     want = np.arange(len(fps))
-    for _ in range(len(fps)):
+    while True:
         before = want.copy()
         for i in range(len(fps)):
             near = np.bitwise_count(fps ^ fps[i]) <= 2
             want[near] = want[near].min()
         if (want == before).all():
-            break
-    assert (root == want).all()
+            return {int(x): int(fps[r]) for x, r in zip(fps.view(np.int64), want)}
+
+
+@pytest.mark.parametrize("cell, full", [(2048, 16384), (8, 32), (64, 40)])
+def test_links_of_large_balls(spark, monkeypatch, cell, full):
+    """Many near fingerprints: in one table, or cut by fixed pivots and by their own, the classes are those of all pairs."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "FULL", full)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 6, dtype=np.uint64)
+    balls = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, wide, (60, k)).astype(np.uint64), axis=1) for b, wide, k in zip(base, (32, 32, 64, 12, 64, 64), (2, 2, 3, 2, 6, 9))]
+    fps = np.unique(np.concatenate([*balls, rng.integers(0, 1 << 64, 200, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
+    got = {r["node"]: r["root"] for r in rows(simhash.components(simhash.links(df)))}
+    want = closed_links(fps)
+    least = {}
+    for x, r in want.items():
+        least[r] = min(least.get(r, x), x)
+    assert got == {x: least[r] for x, r in want.items() if sum(q == r for q in want.values()) > 1}
+
+
+def test_pivot_table_discards_pairs():
+    fps = np.random.default_rng(5).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    assert simhash.table_share(fps) < 1e-4
 
 
 def test_components_of_a_chain(spark):
