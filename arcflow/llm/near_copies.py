@@ -14,7 +14,7 @@
    node of the key, and what links becomes one component. Then all pairs of a key that lie in different components,
    and that their sizes and places allow, are listed and verified, however many they are.
 
-Shingles are combined from the XXH64 values of their words, 64 bits wide; sets are compared by these values.
+Shingles are hashes of 64 bits, combined from hashes of their words; sets are compared by these values.
 
 Defined results: a text without words is a near copy of every other such text; a text of fewer words than a shingle has
 one shingle; a component whose documents all lack a doc_id has a null component_id; repeated rows are all returned; a
@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, Carry, byte_texts, materialize, per_batch, pieces, released
-from .simhash import SEED, components, links, majority
+from .common import LOWER, SPACES, Carry, byte_texts, materialize, per_batch, pieces, released
+from .simhash import components, links, majority
 
 SHINGLE = 5
 #: The least similarity as a fraction.
@@ -43,44 +43,65 @@ SLOTS = 1 << 18
 PAIRS_A_ROW = 16
 #: Shingles that a verifying task keeps of the texts before.
 HELD = 1 << 20
-#: Words whose hashes a worker keeps.
-WORDS = 1 << 16
+#: Bytes whose words are hashed at once.
+PART = 1 << 19
+#: Lower-cased, and every white space a blank.
+BLANK = bytes(32 if b in SPACES else LOWER[b] for b in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xFF51AFD7ED558CCD)
+POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class WordHashes(dict):
-    """XXH64 of words, kept for the next time."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """FACTOR and its inverse modulo 2^64, to the powers 0 to n - 1; the longest so far is kept."""
+    if len(POWERS[0]) < n:
+        inverse = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+        for i, x in enumerate((FACTOR, inverse)):
+            POWERS[i] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x))), dtype=np.uint64)
+    return POWERS[0][:n], POWERS[1][:n]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word, SEED)
-        return found
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIXER
+    return h ^ (h >> np.uint64(29))
 
-def shingle_sets(texts: list[bytes], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of blank-separated bytes begins, and its hash: the polynomial of its bytes in FACTOR, mixed.
+
+    Sums of all bytes times rising powers give every word's polynomial at once; long texts are cut at blanks."""
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = data.find(b" ", at + PART)
+        end = len(data) if end < 0 else end + 1
+        codes = np.frombuffer(data, np.uint8, end - at, at)
+        letter = np.concatenate(([False], codes != 32, [False]))
+        edges = np.flatnonzero(letter[1:] != letter[:-1])
+        first, last = edges[::2], edges[1::2]
+        up, down = powers(len(codes))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
+        starts.append(first + at)
+        hashes.append(mixed((total[last] - total[first]) * down[first]))
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of each text's different shingles, sorted, one text after another, and how many each has."""
-    flat: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = t.translate(LOWER).split()
-        counts[i] = len(words)
-        flat += [known[w] for w in words]
-    h = np.array(flat + [0] * size, np.uint64)
-    n = len(flat)
+    places, h = word_hashes(b" ".join(texts).translate(BLANK))
+    bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    cuts = np.searchsorted(places, bounds)
+    counts, first = np.diff(cuts), cuts[:-1]
     whole = np.minimum(counts, size)
-    first = np.cumsum(counts) - counts
     sizes = counts - whole + (counts > 0)
     starts = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     width = np.repeat(whole, sizes)
+    short = bool((width < size).any())
     value = width.astype(np.uint64)
     for k in range(size):
         # A text shorter than a shingle is combined of the words it has.
-        value = np.where(k < width, (value + h[np.minimum(starts + k, n)]) * FACTOR, value)
-        value ^= value >> np.uint64(29)
-    value *= MIXER
-    value ^= value >> np.uint64(32)
+        new = mixed(value * FACTOR + h[np.minimum(starts + k, len(h) - 1)])
+        value = np.where(k < width, new, value) if short else new
     ends = np.cumsum(sizes)
     for a, b in zip((ends - sizes).tolist(), ends.tolist()):
         value[a:b].sort()
@@ -90,10 +111,10 @@ def shingle_sets(texts: list[bytes], size: int, known: WordHashes) -> tuple[np.n
     return value[new], np.bincount(doc[new], minlength=len(texts)).astype(np.int64)
 
 
-def runs_of(batch_texts: list[bytes], size: int, known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def runs_of(batch_texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """shingle_sets of pieces of a batch, so that what is held stays small."""
     for part in pieces(batch_texts):
-        yield shingle_sets(part, size, known)
+        yield shingle_sets(part, size)
 
 
 def each(hashes: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -111,11 +132,9 @@ def named(rows: DataFrame, text: str, size: int) -> DataFrame:
     names = rows.columns
 
     def make():
-        known = WordHashes()
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, fps = [], []
-            for hashes, sizes in runs_of(byte_texts(batch.column(text)), size, known):
+            for hashes, sizes in runs_of(byte_texts(batch.column(text)), size):
                 ids += [xxh64_intdigest(x.tobytes()) for x in each(hashes, sizes)]
                 fps.append(majority(hashes, sizes))
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.concatenate(fps).view(np.int64))], [*names, "id", "fp"])
@@ -130,9 +149,9 @@ def slot_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many sets have a shingle of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(SLOTS, np.int64), WordHashes()
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for hashes, _ in runs_of(byte_texts(batch.column(0)), size, known):
+            for hashes, _ in runs_of(byte_texts(batch.column(0)), size):
                 counts += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["slot", "n"])
@@ -148,11 +167,11 @@ def prefixes(texts: DataFrame, size: int, near: tuple[int, int]) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, size))
 
     def make():
-        counts, known = np.minimum(shared.value, (1 << 24) - 1).astype(np.uint64), WordHashes()
+        counts = np.minimum(shared.value, (1 << 24) - 1).astype(np.uint64)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, sets = [], []
-            for hashes, sizes in runs_of(byte_texts(batch.column(1)), size, known):
+            for hashes, sizes in runs_of(byte_texts(batch.column(1)), size):
                 # By count, then by hash: the sets are sorted, and the sort below keeps that order in ties.
                 order = (counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(40)) | (hashes >> np.uint64(24))
                 for own, by, k in zip(each(hashes, sizes), each(order, sizes), prefix_length(sizes, near).tolist()):
@@ -175,7 +194,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, near: tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
-        held, known = 0, WordHashes()
+        held = 0
         for batch in batches:
             keep = []
             sides = [(batch.column(c).to_pylist(), byte_texts(batch.column(f"text_{c}"))) for c in ("a", "b")]
@@ -184,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, near: tuple[int, int
                 for ids, found in sides:
                     one = sets.get(ids[i])
                     if one is None:
-                        one = shingle_sets([found[i]], size, known)[0]
+                        one = shingle_sets([found[i]], size)[0]
                         if held > HELD:
                             sets, held = {}, 0
                         sets[ids[i]] = one
