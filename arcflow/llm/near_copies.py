@@ -234,10 +234,12 @@ def print_pairs(sets: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))).dropDuplicates()
 
 
-def star_pairs(now: DataFrame, turn: int, near: tuple[int, int]) -> DataFrame:
-    """Each node of a key with one node of the key, another one each turn."""
-    first = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root", "size"))
-    leaders = now.groupBy("key").agg(first.alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+def star_pairs(now: DataFrame, degree: DataFrame, turn: int, near: tuple[int, int]) -> DataFrame:
+    """Each node of a key with one node of the key: the one with most shared keys, and in odd turns any, another each turn.
+
+    Copies of one text have keys of their own for what was changed in them; the text itself shares nearly all of its keys."""
+    by = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "root", "size") if turn % 2 else F.struct(-F.col("degree"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "root", "size")
+    leaders = now.join(degree, "id").groupBy("key").agg(F.min(by).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     leaders = leaders.select("key", F.col("l.id").alias("l_id"), F.col("l.root").alias("l_root"), F.col("l.size").alias("l_size"))
     met = now.join(leaders, "key").where((F.col("root") != F.col("l_root")) & sizes_allow("size", "l_size", near))
     return met.select(F.greatest("id", "l_id").alias("a"), F.least("id", "l_id").alias("b")).dropDuplicates()
@@ -265,7 +267,7 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     dealt = materialize(prefixes(texts, size, near), "prefixes")
     shared = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     rows = materialize(dealt.join(shared, "key").dropDuplicates(["key", "id"]), "candidates")
-    wanted = materialize(rows.select("id").dropDuplicates(), "wanted")
+    wanted = materialize(rows.groupBy("id").agg(F.count("*").alias("degree")), "wanted")
     texts = materialize(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     # Sets that share no key are near to none, so the fingerprints of the others suffice.
     prints = sets.select("id", "fp").join(wanted, "id", "left_semi").dropDuplicates(["id"])
@@ -280,7 +282,7 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
         # Once the stars no longer halve the pairs, all that are left are listed.
         last = total["pairs"] <= PAIRS_A_ROW * total["n"] or (before is not None and total["pairs"] > before / 2)
         before = total["pairs"]
-        pairs = materialize(cross_pairs(now, parts, near) if last else star_pairs(now, turn, near), "pairs")
+        pairs = materialize(cross_pairs(now, parts, near) if last else star_pairs(now, wanted, turn, near), "pairs")
         edges = materialize(verified(pairs, texts, size, near).unionByName(edges), "near")
         if last:
             break
