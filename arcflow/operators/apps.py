@@ -94,10 +94,7 @@ def apply_rules(words: Fst, rules: list[Fst], epsilon: bool = False) -> Fst:
     every word's machine meets. epsilon: the rules have epsilon moves."""
     out = words
     for rule in rules:
-        ids = out.states.select("fst_id").distinct().withColumn("__rule", F.lit(0).cast("bigint"))
-        at = lambda df, ids=ids: df.withColumnRenamed("fst_id", "__rule").join(ids, "__rule").drop("__rule")
-        shared = Fst(at(rule.arcs), at(rule.states), rule.semiring)
-        out = renumber(compose(out, shared, epsilon=epsilon)).stored("rule")
+        out = renumber(compose(out, rule, epsilon=epsilon, shared=True)).stored("rule")
     return out
 
 

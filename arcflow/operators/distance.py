@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
 from ..plans.model import ARC, STATE, Fst
+from ..plans import small
+from ..plans.scalar import SCALARS
 from ..plans.small import by_machine, divide, reach
 from ..plans.storage import Rounds, fresh_path, remove, store, store_counted
 
-MAX_ROUNDS = 1000
+#: Rounds after which a loop asks whether there are more states than rounds: no path without a cycle is longer.
+ASK = 1000
 DELTA = 1e-9
 
 
@@ -29,9 +34,9 @@ def spread(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     bare = seeds.select(F.col("fst_id").cast("bigint").alias("fst_id"), F.lit(None).cast(kind).alias("src"), F.col("state").alias("dst"))
     rows = arcs.select(F.col("fst_id").cast("bigint").alias("fst_id"), "src", "dst").unionByName(bare)
     if large is None:
-        return store(by_machine(rows, reach, f"state {kind}"), "reach")
-    small = by_machine(rows.join(large, "fst_id", "left_anti"), reach, f"state {kind}")
-    return store(small.unionByName(_spread(seeds.join(large, "fst_id", "left_semi"), arcs.join(large, "fst_id", "left_semi"))), "reach")
+        return by_machine(rows, reach, f"state {kind}", "reach")
+    few = by_machine(rows.join(large, "fst_id", "left_anti"), reach, f"state {kind}", "reach")
+    return store(few.unionByName(_spread(seeds.join(large, "fst_id", "left_semi"), arcs.join(large, "fst_id", "left_semi"))), "reach")
 
 
 def _spread(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -67,20 +72,43 @@ def connect(fst: Fst) -> Fst:
     return restrict(fst, accessible(fst).join(coaccessible(fst), ["fst_id", "state"], "left_semi"))
 
 
-def distances(seeds: DataFrame, arcs: DataFrame, fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DELTA, reverse: bool = False) -> DataFrame:
+def distances(seeds: DataFrame, arcs: DataFrame, fst: Fst, max_rounds: int | None = None, delta: float = DELTA, reverse: bool = False) -> DataFrame:
     """(fst_id, state, weight): the sum over all paths from the seeds (fst_id, state, weight).
 
-    Each round moves the residuals of the states that changed. With an idempotent sum a state changes when its weight
-    does; otherwise a residual is passed on until it is no larger than delta, so no path is counted twice."""
+    Small machines take one pass each in a task, in topological order where there is no cycle. Large ones, and compound
+    weights, take rounds that move the residuals of the states that changed. With an idempotent sum a state changes when
+    its weight does; otherwise a residual is passed on until it is no larger than delta, so no path is counted twice.
+    Rounds end by themselves without cycles; max_rounds (else as many as there are states, and 1000) stops cycles
+    whose sums do not converge."""
+    s = fst.semiring
+    kind, large = divide(arcs, seeds)
+    if kind is None or s.name not in SCALARS:
+        return _distances(seeds, arcs, fst, max_rounds, delta, reverse)
+    end = lambda df, src, dst, w: df.select(F.col("fst_id").cast("bigint").alias("fst_id"), src.cast(kind).alias("src"), dst.alias("dst"), w.alias("w"))
+    rows = end(arcs, F.col("src"), F.col("dst"), s.cast(F.col("weight"))).unionByName(end(seeds, F.lit(None), F.col("state"), s.cast(F.col("weight"))))
+    walk = small.distances(SCALARS[s.name], max_rounds, delta)
+    schema = f"state {kind}, weight {s.type}"
+    if large is None:
+        return by_machine(rows, walk, schema, "dist")
+    few = by_machine(rows.join(large, "fst_id", "left_anti"), walk, schema, "dist")
+    return few.unionByName(_distances(seeds.join(large, "fst_id", "left_semi"), arcs.join(large, "fst_id", "left_semi"), fst, max_rounds, delta, reverse))
+
+
+def _distances(seeds: DataFrame, arcs: DataFrame, fst: Fst, max_rounds: int | None, delta: float, reverse: bool) -> DataFrame:
     s = fst.semiring
     spark = seeds.sparkSession
     edges = store(arcs.select("fst_id", "src", "dst", F.col("weight").alias("w")), "edges")
     path = fresh_path(spark, "dist")
     known, found = store_counted(seeds.groupBy("fst_id", "state").agg(s.plus_agg(F.col("weight")).alias("weight")).withColumn("weight", s.cast(F.col("weight"))).withColumns({"residual": F.col("weight"), "live": F.lit(True)}), path=path, live=F.col("live"))
-    for _ in range(max_rounds):
-        front = known.where("live").select("fst_id", F.col("state").alias("src"), "residual")
+    limit = max_rounds
+    for turn in count():
         if not found["live"]:
             return known.select("fst_id", "state", "weight")
+        if limit is None and turn == ASK:
+            limit = max(ASK, fst.states.count() + 1)
+        if turn == limit:
+            raise AlgorithmError(f"distances did not converge within {limit} rounds")
+        front = known.where("live").select("fst_id", F.col("state").alias("src"), "residual")
         product = s.times(F.col("w"), F.col("residual")) if reverse else s.times(F.col("residual"), F.col("w"))
         step = front.join(edges, ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state"), product.alias("m"))
         step = step.groupBy("fst_id", "state").agg(s.plus_agg(F.col("m")).alias("m")).withColumn("m", s.cast(F.col("m"))).where(~s.is_zero(F.col("m")))
@@ -96,10 +124,9 @@ def distances(seeds: DataFrame, arcs: DataFrame, fst: Fst, max_rounds: int = MAX
         known, found = store_counted(both.select("fst_id", "state", new.alias("weight"), residual.alias("residual"), F.coalesce(live, F.lit(False)).alias("live")), path=new_path, live=F.col("live"))
         remove(spark, path)
         path = new_path
-    raise AlgorithmError(f"distances did not converge within {max_rounds} rounds")
 
 
-def shortest_distance(fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DELTA) -> DataFrame:
+def shortest_distance(fst: Fst, max_rounds: int | None = None, delta: float = DELTA) -> DataFrame:
     """(fst_id, state, weight) from the start to every state, final weights left out; unreachable states have zero."""
     if fst.starts.isEmpty():
         raise AlgorithmError("no start state")
@@ -108,7 +135,7 @@ def shortest_distance(fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DEL
     return fst.states.select("fst_id", "state").join(found, ["fst_id", "state"], "left").select("fst_id", "state", F.coalesce("weight", s.cast(s.zero)).alias("weight"))
 
 
-def distance_to_final(fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DELTA) -> DataFrame:
+def distance_to_final(fst: Fst, max_rounds: int | None = None, delta: float = DELTA) -> DataFrame:
     """(fst_id, state, weight): the sum over all paths to a final, its weight included; only of states that reach one."""
     return distances(fst.finals.withColumnRenamed("final_weight", "weight"), turned(fst), fst, max_rounds, delta, reverse=True)
 
@@ -121,19 +148,35 @@ def total_weight(fst: Fst) -> DataFrame:
 
 
 # -- paths ---------------------------------------------------------------------------------------
-def shortest_path(fst: Fst, k: int = 1, unique: bool = False, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The k best loopless paths of each machine: fst_id, rank, weight, ilabels, olabels, states (epsilons included).
+def shortest_path(fst: Fst, k: int | None = 1, unique: bool = False) -> DataFrame:
+    """The k best loopless paths of each machine (None: all): fst_id, rank, weight, ilabels, olabels, states (with epsilons).
 
-    Beginnings of paths are extended round by round, and one is given up when even its best completion (the distance to
+    Small machines are searched best-first, each in a task. Over the cluster, beginnings of paths are extended round by round, and one is given up when even its best completion (the distance to
     a final) is worse than the k-th best complete path found: exact, since no completion can be better. unique: of paths
     with equal labels only the best. Ties are broken by labels, then states."""
     s = fst.semiring
     order = s.need("order")
     if fst.starts.isEmpty():
         raise AlgorithmError("no start state")
-    if k <= 0:
+    if k is not None and k <= 0:
         return fst.states.select("fst_id", F.lit(0).alias("rank"), "final_weight", F.array().cast("array<bigint>").alias("ilabels"), F.array().cast("array<bigint>").alias("olabels"), F.array("state").alias("states")).withColumnRenamed("final_weight", "weight").limit(0)
     fst = fst.with_(states=store(fst.states.select(*STATE), "states"))
+    kind, large = divide(fst.arcs, fst.states)
+    if kind is None or s.name not in SCALARS:
+        return _shortest_path(fst, k, unique)
+    end = lambda df, name, src, dst, w, i=F.lit(None), o=F.lit(None): df.select(F.col("fst_id").cast("bigint").alias("fst_id"), F.lit(name).alias("kind"), src.cast(kind).alias("src"), F.col(dst).alias("dst"), i.cast("bigint").alias("ilabel"), o.cast("bigint").alias("olabel"), s.cast(w).alias("w"))
+    rows = end(fst.arcs, "arc", F.col("src"), "dst", F.col("weight"), F.col("ilabel"), F.col("olabel")).unionByName(end(fst.starts, "start", F.lit(None), "state", s.one)).unionByName(end(fst.finals, "final", F.lit(None), "state", F.col("final_weight")))
+    walk, schema = small.best_paths(SCALARS[s.name], k, unique), f"rank int, weight {s.type}, ilabels array<bigint>, olabels array<bigint>, states array<{kind}>"
+    if large is None:
+        return by_machine(rows, walk, schema, "paths")
+    few = by_machine(rows.join(large, "fst_id", "left_anti"), walk, schema, "paths")
+    big = fst.with_(arcs=fst.arcs.join(large, "fst_id", "left_semi"), states=fst.states.join(large, "fst_id", "left_semi"))
+    return few.unionByName(_shortest_path(big, k, unique))
+
+
+def _shortest_path(fst: Fst, k: int | None, unique: bool) -> DataFrame:
+    s = fst.semiring
+    order = s.order
     useful = store(distance_to_final(fst).withColumnRenamed("weight", "rest"), "rest")
     arcs = store(fst.arcs.join(useful.select("fst_id", F.col("state").alias("dst"), "rest"), ["fst_id", "dst"]).select("fst_id", "src", "dst", "ilabel", "olabel", F.col("weight").alias("w"), "rest"), "edges")
     none = F.array().cast("array<bigint>")
@@ -142,21 +185,31 @@ def shortest_path(fst: Fst, k: int = 1, unique: bool = False, max_rounds: int =
     best = None
     labels = ["ilabels", "olabels"]
     rank = Window.partitionBy("fst_id").orderBy(order(F.col("weight")), "ilabels", "olabels", "states")
-    for _ in range(max_rounds):
+    while True:  # a loopless path has no more arcs than there are states
         done = front.join(fst.finals, ["fst_id", "state"]).select("fst_id", s.cast(s.times(F.col("weight"), F.col("final_weight"))).alias("weight"), *labels, "states")
         every = done if best is None else best.unionByName(done)
         if unique:
             first = Window.partitionBy("fst_id", *labels).orderBy(order(F.col("weight")), "states")
             every = every.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+        if k is None:
+            best, front, found = store(every, "best"), *_extend(front, arcs, s)
+            if not found["n"]:
+                return best.withColumn("rank", F.row_number().over(rank))
+            continue
         best = store(every.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank"), "best")
         bound = best.groupBy("fst_id").agg(F.count("*").alias("__n"), F.max(order(F.col("weight"))).alias("__worst"))
-        step = front.withColumnRenamed("state", "src").join(arcs, ["fst_id", "src"]).where(~F.array_contains("states", F.col("dst")))
-        total = s.cast(s.times(s.times(F.col("weight"), F.col("w")), F.col("rest")))
-        step = step.join(bound, "fst_id", "left").where((F.coalesce("__n", F.lit(0)) < k) | (order(total) <= F.col("__worst")))
-        front, found = store_counted(step.select("fst_id", F.col("dst").alias("state"), s.cast(s.times(F.col("weight"), F.col("w"))).alias("weight"), F.array_append("ilabels", F.col("ilabel")).alias("ilabels"), F.array_append("olabels", F.col("olabel")).alias("olabels"), F.array_append("states", F.col("dst")).alias("states")), "paths")
+        front, found = _extend(front, arcs, s, bound, k)
         if not found["n"]:
             return best.withColumn("rank", F.row_number().over(rank))
-    raise AlgorithmError(f"paths did not end within {max_rounds} rounds")
+
+
+def _extend(front: DataFrame, arcs: DataFrame, s, bound: DataFrame | None = None, k: int = 0) -> tuple[DataFrame, dict[str, int]]:
+    """The beginnings with one arc more; with a bound (__n paths so far, the __worst of them) only the promising ones."""
+    step = front.withColumnRenamed("state", "src").join(arcs, ["fst_id", "src"]).where(~F.array_contains("states", F.col("dst")))
+    if bound is not None:
+        total = s.cast(s.times(s.times(F.col("weight"), F.col("w")), F.col("rest")))
+        step = step.join(bound, "fst_id", "left").where((F.coalesce("__n", F.lit(0)) < k) | (s.order(total) <= F.col("__worst")))
+    return store_counted(step.select("fst_id", F.col("dst").alias("state"), s.cast(s.times(F.col("weight"), F.col("w"))).alias("weight"), F.array_append("ilabels", F.col("ilabel")).alias("ilabels"), F.array_append("olabels", F.col("olabel")).alias("olabels"), F.array_append("states", F.col("dst")).alias("states")), "paths")
 
 
 def best_path(fst: Fst) -> DataFrame:
@@ -186,7 +239,7 @@ def random_paths(fst: Fst, n: int = 1, seed: int = 0, max_length: int = 100, wei
     arcs = store(restrict(fst, coaccessible(fst)).arcs, "edges")
     chance = (F.exp(-F.col("weight").cast("double")) if s.name in ("tropical", "log", "min") else F.greatest(F.col("weight").cast("double"), F.lit(0.0))) if weighted else F.lit(1.0)
     none = F.array().cast("array<bigint>")
-    front = fst.starts.crossJoin(fst.spark.range(n).withColumnRenamed("id", "path")).select("fst_id", "path", "state", none.alias("ilabels"), none.alias("olabels"), F.array("state").alias("states"))
+    front = fst.starts.select("fst_id", "state", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")) if n > 0 else F.array().cast("array<bigint>")).alias("path")).select("fst_id", "path", "state", none.alias("ilabels"), none.alias("olabels"), F.array("state").alias("states"))
     draw = lambda i, c: -F.ln((F.abs(F.xxhash64("fst_id", "path", *c)) % (1 << 52) + 1) / float((1 << 52) + 1))
     out = Rounds(fst.spark, "random")
     front = store(front, "random")
@@ -246,7 +299,7 @@ def push_weights(fst: Fst, to: str = "initial", remove_total: bool = False) -> F
     """Weights moved as near as possible to the start (or the finals); the weight of every path stays the same.
 
     To initial, the potentials are distances to the finals, and what is left over multiplies the arcs of the start,
-    which keeps totals (remove_total leaves it out). To final, they are distances from the start."""
+    or the finals where a cycle passes through the start (remove_total leaves it out). To final, they are distances from the start."""
     from .rational import reweight
 
     s = fst.semiring
@@ -260,15 +313,30 @@ def push_weights(fst: Fst, to: str = "initial", remove_total: bool = False) -> F
     if remove_total:
         return pushed
     first = fst.starts.join(v, ["fst_id", "state"])
-    arcs = pushed.arcs.join(first.select("fst_id", F.col("state").alias("src"), "potential"), ["fst_id", "src"], "left")
-    # A cycle through the start would take the total more than once: its machine is left as it was.
-    loops = fst.arcs.join(first.select("fst_id", F.col("state").alias("dst")), ["fst_id", "dst"], "left_semi").select("fst_id").distinct().withColumn("__loop", F.lit(True))
+    if not s.commutative:
+        arcs = pushed.arcs.join(first.select("fst_id", F.col("state").alias("src"), "potential"), ["fst_id", "src"], "left")
+        arcs = arcs.withColumn("weight", F.when(F.col("potential").isNotNull(), s.cast(s.times(F.col("potential"), F.col("weight")))).otherwise(F.col("weight"))).select(*ARC)
+        states = pushed.states.join(v, ["fst_id", "state"], "left")
+        states = states.withColumn("final_weight", F.when(F.col("is_start") & F.col("final_weight").isNotNull(), s.cast(s.times(F.col("potential"), F.col("final_weight")))).otherwise(F.col("final_weight"))).select(*STATE)
+        loops = store(fst.arcs.join(first.select("fst_id", F.col("state").alias("dst")), ["fst_id", "dst"], "left_semi").select("fst_id").distinct(), "loops")
+        old_a, old_s = fst.arcs.join(loops, "fst_id", "left_semi").select(*ARC), fst.states.join(loops, "fst_id", "left_semi").select(*STATE)
+        return fst.with_(arcs=arcs.join(loops, "fst_id", "left_anti").unionByName(old_a), states=states.join(loops, "fst_id", "left_anti").unionByName(old_s))
+    # A cycle through the start would take the total more than once: there the finals take it.
+    loops = store(fst.arcs.join(first.select("fst_id", F.col("state").alias("dst")), ["fst_id", "dst"], "left_semi").select("fst_id").distinct(), "loops")
+    once = first.join(loops, "fst_id", "left_anti")
+    arcs = pushed.arcs.join(once.select("fst_id", F.col("state").alias("src"), "potential"), ["fst_id", "src"], "left")
     arcs = arcs.withColumn("weight", F.when(F.col("potential").isNotNull(), s.cast(s.times(F.col("potential"), F.col("weight")))).otherwise(F.col("weight"))).select(*ARC)
-    states = pushed.states.join(v, ["fst_id", "state"], "left")
-    states = states.withColumn("final_weight", F.when(F.col("is_start") & F.col("final_weight").isNotNull(), s.cast(s.times(F.col("potential"), F.col("final_weight")))).otherwise(F.col("final_weight"))).select(*STATE)
-    old_a = fst.arcs.join(loops, "fst_id", "left_semi").select(*ARC)
-    old_s = fst.states.join(loops, "fst_id", "left_semi").select(*STATE)
-    return fst.with_(arcs=arcs.join(loops, "fst_id", "left_anti").unionByName(old_a), states=states.join(loops, "fst_id", "left_anti").unionByName(old_s))
+    plain = pushed.states.join(loops, "fst_id", "left_anti").join(v, ["fst_id", "state"], "left")
+    plain = plain.withColumn("final_weight", F.when(F.col("is_start") & F.col("final_weight").isNotNull(), s.cast(s.times(F.col("potential"), F.col("final_weight")))).otherwise(F.col("final_weight"))).select(*STATE)
+    looped = pushed.with_(states=pushed.states.join(loops, "fst_id", "left_semi").select(*STATE))
+    return fst.with_(arcs=arcs, states=plain.unionByName(total_at_finals(looped, first).states))
+
+
+def total_at_finals(fst: Fst, totals: DataFrame) -> Fst:
+    """Final weights times the potential (fst_id, potential) of their machine."""
+    s = fst.semiring
+    states = fst.states.join(totals.select("fst_id", "potential"), "fst_id", "left")
+    return fst.with_(states=states.withColumn("final_weight", s.cast(s.times(F.col("final_weight"), F.col("potential")))).select(*STATE))
 
 
 def push_labels(fst: Fst) -> Fst:
@@ -277,7 +345,7 @@ def push_labels(fst: Fst) -> Fst:
     One label a round, as long as some state other than a start or a final has a common first output label and every
     arc into it can take one (its own output is epsilon)."""
     now = fst.stored("push")
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round moves labels nearer to the start
         fixed = now.states.where("is_start or final_weight is not null").select("fst_id", "state")
         out = now.arcs.groupBy("fst_id", F.col("src").alias("state")).agg(F.min("olabel").alias("a"), F.max("olabel").alias("b")).where("a = b and a <> 0")
         into = now.arcs.groupBy("fst_id", F.col("dst").alias("state")).agg(F.max("olabel").alias("m"), F.bool_or(F.col("src").eqNullSafe(F.col("dst"))).alias("self")).where("m = 0 and not self")
@@ -290,4 +358,3 @@ def push_labels(fst: Fst) -> Fst:
         arcs = now.arcs.join(move.select("fst_id", F.col("state").alias("src"), F.col("label").alias("gone")), ["fst_id", "src"], "left").join(move.select("fst_id", F.col("state").alias("dst"), "label"), ["fst_id", "dst"], "left")
         arcs = arcs.withColumn("olabel", F.when(F.col("label").isNotNull(), F.col("label")).when(F.col("gone").isNotNull(), F.lit(0).cast("bigint")).otherwise(F.col("olabel"))).select(*ARC)
         now = now.with_(arcs=store(arcs, "push"))
-    raise AlgorithmError("labels did not settle")

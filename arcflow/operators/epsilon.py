@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError
 from ..plans.model import ARC, EPSILON, STATE, Fst
 from ..plans.storage import Rounds, store, store_counted
-from .distance import DELTA, MAX_ROUNDS
+from .distance import ASK, DELTA
 from .rational import arc_sum
 
 
-def remove_epsilons(fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DELTA) -> Fst:
+def remove_epsilons(fst: Fst, max_rounds: int | None = None, delta: float = DELTA) -> Fst:
     """The same weighted relation without arcs whose labels are both epsilon; states stay.
 
     The closure (state, target, weight) over epsilon arcs is a distance problem with one source for each state that has
@@ -34,11 +36,16 @@ def remove_epsilons(fst: Fst, max_rounds: int = MAX_ROUNDS, delta: float = DELTA
     return arc_sum(out)
 
 
-def _closure(seeds, eps, fst: Fst, max_rounds: int, delta: float):
+def _closure(seeds, eps, fst: Fst, max_rounds: int | None, delta: float):
     """fst_id, source, target, c: sums over all silent paths."""
     s = fst.semiring
     known, found = store_counted(seeds.withColumns({"residual": F.col("weight"), "live": F.lit(True)}), "closure", live=F.col("live"))
-    for _ in range(max_rounds):
+    limit = max_rounds
+    for turn in count():
+        if limit is None and turn == ASK:
+            limit = max(ASK, fst.states.count() + 1)
+        if turn == limit:
+            raise AlgorithmError(f"the closure did not converge within {limit} rounds")
         front = known.where("live").select(F.col("fst_id").alias("k"), F.col("fst_id.fst_id").alias("fst_id"), F.col("state").alias("src"), "residual")
         if not found["live"]:
             return known.select(F.col("fst_id.fst_id").alias("fst_id"), F.col("fst_id.source").alias("source"), F.col("state").alias("target"), F.col("weight").alias("c"))
@@ -49,10 +56,9 @@ def _closure(seeds, eps, fst: Fst, max_rounds: int, delta: float):
         if not s.idempotent and s.size is not None and s.type == "double":
             changed = F.col("m").isNotNull() & (F.col("weight").isNull() | (F.abs(new - F.col("weight")) > delta))
         known, found = store_counted(both.select("fst_id", "state", new.alias("weight"), (new if s.idempotent else F.col("m")).alias("residual"), F.coalesce(changed, F.lit(False)).alias("live")), "closure", live=F.col("live"))
-    raise AlgorithmError(f"the closure did not converge within {max_rounds} rounds")
 
 
-def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -> Fst:
+def synchronize(fst: Fst, max_delay: int | None = None) -> Fst:
     """The same relation with inputs and outputs as close together as they can be: each arc reads one label of both
     sides until one side ends, and what is left is written behind the finals.
 
@@ -71,7 +77,9 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
     seen, made = Rounds(fst.spark, "sync"), Rounds(fst.spark, "sync-arcs")
     start = fst.starts.select("fst_id", key(F.col("state"), none, none).alias("state"))
     front = seen.add(start)
-    for _ in range(max_rounds):
+    # A delay beyond the number of states has passed some state with two different delays: it grows without bound.
+    most = max_delay if max_delay is not None else fst.states.count()
+    while True:
         here = front.select("fst_id", F.col("state").alias("src0"), "state.q", "state.x", "state.y")
         j = here.where("q is not null").join(arcs.withColumnRenamed("src", "q"), ["fst_id", "q"])
         x = F.when(F.col("ilabel") == 0, F.col("x")).otherwise(F.array_append("x", F.col("ilabel")))
@@ -84,16 +92,14 @@ def synchronize(fst: Fst, max_rounds: int = MAX_ROUNDS, max_delay: int = 1000) -
         tail = here.join(end, ["fst_id", "q"], "left").where("(q is null or final_weight is not null) and size(x) + size(y) > 0")
         w = F.when(F.col("q").isNull(), s.cast(s.one)).otherwise(F.col("final_weight"))
         write = tail.select("fst_id", F.col("src0").alias("src"), F.lit(1 << 40).cast("bigint").alias("pos"), first(F.col("x")).alias("ilabel"), first(F.col("y")).alias("olabel"), w.alias("weight"), key(F.lit(None).cast(fst.states.schema["state"].dataType), rest(F.col("x")), rest(F.col("y"))).alias("dst"))
-        out = made.add(go.unionByName(write), late=F.size("dst.x") + F.size("dst.y") > max_delay)
+        out = made.add(go.unionByName(write), late=F.size("dst.x") + F.size("dst.y") > most)
         if made.found["late"]:
-            raise AlgorithmError(f"a delay of more than {max_delay} labels")
+            raise AlgorithmError(f"a delay of more than {most} labels")
         new = out.select("fst_id", F.col("dst").alias("state")).distinct()
         old = seen.rows().select(F.col("fst_id").alias("f"), F.col("state").alias("s"))
         front = seen.add(new.join(old, F.expr("fst_id <=> f and state <=> s"), "left_anti"))
         if not seen.last:
             break
-    else:
-        raise AlgorithmError("synchronization did not end")
     every = seen.rows().select("fst_id", "state", "state.q", "state.x", "state.y").join(end, ["fst_id", "q"], "left")
     final = F.when(F.size("x") + F.size("y") > 0, F.lit(None).cast(s.type)).when(F.col("q").isNull(), s.cast(s.one)).otherwise(F.col("final_weight"))
     states = every.join(start.withColumn("first", F.lit(True)), ["fst_id", "state"], "left").select("fst_id", "state", F.coalesce("first", F.lit(False)).alias("is_start"), final.alias("final_weight"))

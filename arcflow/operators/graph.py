@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, InvalidOperation
 from ..plans.model import STATE, Fst, numbered, renumber
-from ..plans.small import by_machine, divide, strong_components
+from ..plans.small import by_machine, divide, hops, levels, same_shape, strong_components
 from ..plans.storage import Rounds, store, store_counted
 from .distance import accessible, coaccessible, restrict
 
-MAX_ROUNDS = 1000
-
 
 # -- strongly connected components ---------------------------------------------------------------
-def components(fst: Fst, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(fst: Fst) -> DataFrame:
     """(fst_id, state, component): strongly connected components, named by one of their states.
 
     Small machines are searched each in a task; large ones over the cluster. Colouring: the least state that reaches a state is its colour; what reaches the colour's own state backwards within
@@ -24,21 +24,21 @@ def components(fst: Fst, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     nothing leaves (single components) leave first."""
     kind, large = divide(fst.arcs, fst.states)
     if kind is None:
-        return _components(fst, max_rounds)
+        return _components(fst)
     bare = fst.states.select(F.col("fst_id").cast("bigint").alias("fst_id"), F.lit(None).cast(kind).alias("src"), F.col("state").alias("dst"))
     rows = fst.arcs.select(F.col("fst_id").cast("bigint").alias("fst_id"), "src", "dst").unionByName(bare)
     if large is None:
-        return store(by_machine(rows, strong_components, f"state {kind}, component {kind}"), "components")
+        return by_machine(rows, strong_components, f"state {kind}, component {kind}", "components")
     small = by_machine(rows.join(large, "fst_id", "left_anti"), strong_components, f"state {kind}, component {kind}")
     big = fst.with_(arcs=fst.arcs.join(large, "fst_id", "left_semi"), states=fst.states.join(large, "fst_id", "left_semi"))
-    return store(small.unionByName(_components(big, max_rounds)), "components")
+    return store(small.unionByName(_components(big)), "components")
 
 
-def _components(fst: Fst, max_rounds: int) -> DataFrame:
+def _components(fst: Fst) -> DataFrame:
     out = Rounds(fst.spark, "components")
     edges = store(fst.arcs.select("fst_id", "src", "dst").where(~F.col("src").eqNullSafe(F.col("dst"))).distinct(), "edges")
     left = store(fst.states.select("fst_id", "state").distinct(), "left")
-    for _ in range(max_rounds):
+    while True:  # every round takes states away
         if left.isEmpty():
             return out.rows()
         heads, tails = edges.select("fst_id", F.col("dst").alias("state")).distinct(), edges.select("fst_id", F.col("src").alias("state")).distinct()
@@ -58,7 +58,6 @@ def _components(fst: Fst, max_rounds: int) -> DataFrame:
             inner = store(inner.join(found, ["fst_id", "state"], "left_anti"), "inner")
         left = inner
         edges = store(edges.join(left.withColumnRenamed("state", "src"), ["fst_id", "src"], "left_semi").join(left.withColumnRenamed("state", "dst"), ["fst_id", "dst"], "left_semi").select("fst_id", "src", "dst"), "edges")
-    raise AlgorithmError("components did not settle")
 
 
 def _least(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,13 +84,33 @@ def condense(fst: Fst) -> Fst:
 
 
 # -- orders --------------------------------------------------------------------------------------
-def topological_levels(fst: Fst, max_rounds: int = 100_000) -> DataFrame:
-    """(fst_id, state, level): the longest path to each state. States whose incoming arcs are all settled are peeled off
-    round by round; a cycle is an error."""
+def topological_levels(fst: Fst) -> DataFrame:
+    """(fst_id, state, level): the longest path to each state; a cycle is an error.
+
+    Small machines are walked each in a task. In large ones, states whose incoming arcs are all settled are peeled off
+    round by round."""
+    bare = fst.states.select("fst_id", "state")
+    return _by_size(fst.arcs, bare, bare, levels, _topological_levels, fst)
+
+
+def _by_size(arcs: DataFrame, seeds: DataFrame, states: DataFrame, walk, rounds, fst: Fst) -> DataFrame:
+    """(fst_id, state, level) of small machines by walk in tasks, with the seeds as arcs from nowhere; else by rounds."""
+    kind, large = divide(arcs, states)
+    if kind is None:
+        return rounds(fst)
+    row = lambda df, src, dst: df.select(F.col("fst_id").cast("bigint").alias("fst_id"), src.cast(kind).alias("src"), F.col(dst).alias("dst"))
+    rows = row(arcs, F.col("src"), "dst").unionByName(row(seeds, F.lit(None), "state"))
+    if large is None:
+        return by_machine(rows, walk, f"state {kind}, level bigint", "levels")
+    few = by_machine(rows.join(large, "fst_id", "left_anti"), walk, f"state {kind}, level bigint", "levels")
+    return few.unionByName(rounds(fst.with_(arcs=fst.arcs.join(large, "fst_id", "left_semi"), states=fst.states.join(large, "fst_id", "left_semi"))))
+
+
+def _topological_levels(fst: Fst) -> DataFrame:
     edges = store(fst.arcs.select("fst_id", "src", "dst"), "edges")
     out = Rounds(fst.spark, "levels")
     left, rest = store_counted(fst.states.select("fst_id", "state").distinct(), "left")
-    for level in range(max_rounds):
+    for level in count():
         if not rest["n"]:
             return out.rows()
         entered = edges.select("fst_id", F.col("dst").alias("state")).distinct()
@@ -100,11 +119,14 @@ def topological_levels(fst: Fst, max_rounds: int = 100_000) -> DataFrame:
             raise AlgorithmError("there is a cycle")
         left, rest = store_counted(left.join(free, ["fst_id", "state"], "left_anti"), "left")
         edges = store(edges.join(free.select("fst_id", F.col("state").alias("src")), ["fst_id", "src"], "left_anti").select("fst_id", "src", "dst"), "edges")
-    raise AlgorithmError("levels did not end")
 
 
 def breadth_levels(fst: Fst) -> DataFrame:
     """(fst_id, state, level): the fewest arcs from a start; only of states that one reaches."""
+    return _by_size(fst.arcs, fst.starts, fst.states, hops, _breadth_levels, fst)
+
+
+def _breadth_levels(fst: Fst) -> DataFrame:
     rounds = Rounds(fst.spark, "breadth")
     edges = store(fst.arcs.select("fst_id", "src", "dst").distinct(), "edges")
     front = rounds.add(fst.starts.withColumn("level", F.lit(0).cast("bigint")))
@@ -199,10 +221,30 @@ def _depth_order(fst: Fst) -> DataFrame:
 def isomorphic(a: Fst, b: Fst) -> DataFrame:
     """(fst_id, same): whether the machines of an id are the same up to the names of states.
 
-    Starts are paired, and each pair pairs the targets of its arcs in the order of (labels, weight). A difference of
+    Pairs of small machines are decided each in a task, exactly: colours are refined over both, and ties are tried out.
+    In large ones starts are paired, and each pair pairs the targets of its arcs in the order of (labels, weight). A difference of
     arcs, finals or counts, or a state paired twice, ends it. States that no start reaches are compared by number only.
     For states with several arcs of the same labels and weight the pairing is by target, so a true isomorphism may be
     missed there."""
+    sides = list(enumerate((a, b)))
+    kind, large = divide(a.arcs.select("fst_id").unionByName(b.arcs.select("fst_id")), a.states)
+    if kind is None or b.states.schema["state"].dataType.simpleString() != kind:
+        return _isomorphic(a, b)
+    i = lambda df: df["fst_id"].cast("bigint").alias("fst_id")
+    text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("text")
+    rows = [m.arcs.select(i(m.arcs), F.lit(n).alias("side"), "src", "dst", text("ilabel", "olabel", "weight")) for n, m in sides]
+    rows += [m.states.select(i(m.states), F.lit(n).alias("side"), F.lit(None).cast(kind).alias("src"), F.col("state").alias("dst"), text("is_start", "final_weight")) for n, m in sides]
+    every = rows[0]
+    for x in rows[1:]:
+        every = every.unionByName(x)
+    if large is None:
+        return by_machine(every, same_shape, "same boolean", "same")
+    few = by_machine(every.join(large, "fst_id", "left_anti"), same_shape, "same boolean", "same")
+    big = [m.with_(arcs=m.arcs.join(large, "fst_id", "left_semi"), states=m.states.join(large, "fst_id", "left_semi")) for m in (a, b)]
+    return few.unionByName(_isomorphic(*big))
+
+
+def _isomorphic(a: Fst, b: Fst) -> DataFrame:
     ids = a.states.select("fst_id").union(b.states.select("fst_id")).distinct()
     place = F.row_number().over(Window.partitionBy("fst_id", "src").orderBy("ilabel", "olabel", "weight", "dst"))
     x = store(a.arcs.withColumn("i", place).select("fst_id", F.col("src").alias("p"), "i", "ilabel", "olabel", "weight", F.col("dst").alias("p2")), "left")
@@ -248,7 +290,7 @@ def validate_grammar(rules: Fst, root: int) -> list[str]:
     if keys.where(F.col("fst_id") == root).isEmpty():
         found.append("the root has no rule")
     lame = keys.join(rules.starts, "fst_id", "left_anti")
-    found += [f"rule {r['fst_id']} has no start" for r in lame.limit(100).collect()]
+    found += [f"rule {r['fst_id']} has no start" for r in lame.orderBy("fst_id").collect()]  # as many as the grammar has rules
     uses = rules.arcs.select("fst_id", F.col("ilabel").alias("to")).join(keys.withColumnRenamed("fst_id", "to"), "to", "left_semi").distinct()
     edges = uses.select(F.lit(0).alias("fst_id"), F.col("fst_id").alias("src"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("ilabel"), F.lit(0).cast("bigint").alias("olabel"), rules.semiring.cast(rules.semiring.one).alias("weight"), F.col("to").alias("dst"))
     states = keys.select(F.lit(0).alias("fst_id"), F.col("fst_id").alias("state"), F.lit(False).alias("is_start"), F.lit(None).cast(rules.semiring.type).alias("final_weight"))

@@ -6,50 +6,63 @@ Rows of machines are dealt by fst_id and sorted, and a task holds one machine at
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import AlgorithmError
+from .scalar import Scalar
 from .storage import store
 
 LOCAL_ROWS = 100_000
+#: Products of the arcs of two machines up to which they are composed in a task.
+LOCAL_PAIRS = 20_000_000
+KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
-def by_machine(rows: DataFrame, f: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
-    """f on the columns of each machine (rows with fst_id); it returns rows of the schema without fst_id, which is put in front."""
+def machines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, pa.Table]]:
+    """The rows of one machine after another; batches come sorted by fst_id."""
+    now, held = None, []
+    for batch in batches:
+        ids = batch.column("fst_id").to_pylist()
+        cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and ids[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = ids[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def by_machine(rows: DataFrame, f: Callable[[dict[str, list]], list[tuple]], schema: str, name: str = "machines") -> DataFrame:
+    """f on the columns of each machine (rows with fst_id); it returns rows of the schema without fst_id, which is put in
+    front. An AlgorithmError of f is raised here, so the result is written."""
     names = [c for c in rows.columns if c != "fst_id"]
+    fields = [x.split()[0] for x in schema.split(", ")]
+    kinds = [KINDS[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, any_yet = None, {c: [] for c in names}, False
-
-        def done() -> pa.RecordBatch:
-            out = f(held)
+        for i, table in machines(batches):
+            try:
+                out, wrong = f({c: table.column(c).to_pylist() for c in names}), None
+            except AlgorithmError as e:
+                out, wrong = [(None,) * len(fields)], str(e)
             columns = list(zip(*out)) if out else [[] for _ in kinds]
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(out), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["fst_id", *fields])
-
-        for batch in batches:
-            ids = batch.column("fst_id").to_pylist()
-            columns = [batch.column(c).to_pylist() for c in names]
-            start = 0
-            for i in range(len(ids) + 1):
-                if i == len(ids) or ids[i] != (ids[start] if i else ids[0]):
-                    if i > start:
-                        if any_yet and ids[start] != now:
-                            yield done()
-                            held = {c: [] for c in names}
-                        now, any_yet = ids[start], True
-                        for c, values in zip(names, columns):
-                            held[c] += values[start:i]
-                    start = i
-        if any_yet:
-            yield done()
-
-    arrow = {"bigint": pa.int64(), "string": pa.string()}
-    fields = [x.split()[0] for x in schema.split(", ")]
-    kinds = [arrow[x.split()[1]] for x in schema.split(", ")]
-    return rows.repartition("fst_id").sortWithinPartitions("fst_id").mapInArrow(run, f"fst_id bigint, {schema}")
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([wrong] * n, pa.string())], ["fst_id", *fields, "__wrong"])
+
+    found = store(rows.repartition("fst_id").sortWithinPartitions("fst_id").mapInArrow(run, f"fst_id bigint, {schema}, __wrong string"), name)
+    wrong = found.where("__wrong is not null").select("__wrong").first()
+    if wrong:
+        raise AlgorithmError(wrong[0])
+    return found.drop("__wrong")
 
 
 def divide(arcs: DataFrame, state: DataFrame, column: str = "state") -> tuple[str | None, DataFrame | None]:
@@ -112,10 +125,277 @@ def strong_components(rows: dict[str, list]) -> list[tuple]:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[state])
                 if low[state] == index[state]:
-                    cut = path.index(state)
-                    members = path[cut:]
-                    del path[cut:]
+                    members = [path.pop()]
+                    while members[-1] != state:
+                        members.append(path.pop())
                     on.difference_update(members)
                     name = min(members)
                     out += [(m, name) for m in members]
     return out
+
+
+def successors(rows: dict[str, list], *columns: str) -> dict:
+    """By source state the tuples of some columns of its arcs; rows with a null src are no arcs."""
+    after: dict = {}
+    for s, *x in zip(rows["src"], *(rows[c] for c in columns)):
+        if s is not None:
+            after.setdefault(s, []).append(x)
+    return after
+
+
+def in_order(after: dict, states: set) -> list | None:
+    """The states in topological order, None if there is a cycle."""
+    entered = dict.fromkeys(states, 0)
+    for s in states:
+        for d, *_ in after.get(s, ()):
+            entered[d] += 1
+    free = [s for s in states if not entered[s]]
+    out = []
+    while free:
+        s = free.pop()
+        out.append(s)
+        for d, *_ in after.get(s, ()):
+            entered[d] -= 1
+            if not entered[d]:
+                free.append(d)
+    return out if len(out) == len(states) else None
+
+
+def levels(rows: dict[str, list]) -> list[tuple]:
+    """(state, level): the longest path to each state. Rows with a null src are bare states."""
+    after = successors(rows, "dst")
+    order = in_order(after, {x for x in (*rows["src"], *rows["dst"]) if x is not None})
+    if order is None:
+        raise AlgorithmError("there is a cycle")
+    level = dict.fromkeys(order, 0)
+    for s in order:
+        for (d,) in after.get(s, ()):
+            level[d] = max(level[d], level[s] + 1)
+    return list(level.items())
+
+
+def hops(rows: dict[str, list]) -> list[tuple]:
+    """(state, level): the fewest arcs from the seeds (rows with a null src)."""
+    after = successors(rows, "dst")
+    front = {d for s, d in zip(rows["src"], rows["dst"]) if s is None}
+    found = dict.fromkeys(front, 0)
+    n = 0
+    while front:
+        n += 1
+        front = {d for s in front for (d,) in after.get(s, ()) if d not in found}
+        found.update(dict.fromkeys(front, n))
+    return list(found.items())
+
+
+def sums(after: dict, seeds: list[tuple], s: Scalar, max_rounds: int | None, delta: float) -> dict:
+    """By state the sum over all paths from the seeds (state, weight): in one pass without cycles, else by residuals."""
+    known: dict = {}
+    for q, w in seeds:
+        known[q] = s.plus(known[q], w) if q in known else w
+    stack, seen = list(known), set(known)
+    while stack:
+        for d, _ in after.get(stack.pop(), ()):
+            if d not in seen:
+                seen.add(d)
+                stack.append(d)
+    order = in_order(after, seen)
+    if order is not None:
+        for q in order:
+            if q in known:
+                for d, w in after.get(q, ()):
+                    m = s.times(known[q], w)
+                    if m != s.zero:
+                        known[d] = s.plus(known[d], m) if d in known else m
+        return known
+    front = dict(known)
+    rounds = max_rounds if max_rounds is not None else len(seen) + 1 if s.idempotent else 1000
+    for _ in range(rounds):
+        step: dict = {}
+        for q, r in front.items():
+            for d, w in after.get(q, ()):
+                m = s.times(r, w)
+                if m != s.zero:
+                    step[d] = s.plus(step[d], m) if d in step else m
+        front = {}
+        for d, m in step.items():
+            old = known.get(d)
+            new = known[d] = m if old is None else s.plus(old, m)
+            if s.moves(old, new, m, delta):
+                front[d] = new if s.idempotent else m
+        if not front:
+            return known
+    raise AlgorithmError(f"distances did not converge within {rounds} rounds")
+
+
+def distances(s: Scalar, max_rounds: int | None, delta: float) -> Callable[[dict[str, list]], list[tuple]]:
+    """(state, weight) from rows src, dst, w; seeds have a null src."""
+
+    def walk(rows: dict[str, list]) -> list[tuple]:
+        seeds = [(d, w) for q, d, w in zip(rows["src"], rows["dst"], rows["w"]) if q is None]
+        return list(sums(successors(rows, "dst", "w"), seeds, s, max_rounds, delta).items())
+
+    return walk
+
+
+def best_paths(s: Scalar, k: int | None, unique: bool) -> Callable[[dict[str, list]], list[tuple]]:
+    """The k best loopless paths: rank, weight, ilabels, olabels, states, from rows kind (arc, start, final), src, dst,
+    ilabel, olabel, w. Best-first search; the bound of a beginning is its weight times the distance to a final."""
+
+    def walk(rows: dict[str, list]) -> list[tuple]:
+        after: dict = {}
+        turned: dict = {}
+        starts, finals = [], {}
+        for kind, a, d, i, o, w in zip(*(rows[c] for c in ("kind", "src", "dst", "ilabel", "olabel", "w"))):
+            if kind == "arc":
+                after.setdefault(a, []).append((d, i, o, w))
+                turned.setdefault(d, []).append((a, w))
+            elif kind == "start":
+                starts.append(d)
+            else:
+                finals[d] = w
+        rest = sums(turned, list(finals.items()), s, None, 0.0)
+        free = in_order(after, {x for a, to in after.items() for x in (a, *(t[0] for t in to))} | set(starts)) is not None
+        # A beginning is (state, weight, its parent, labels of its last arc); complete paths are those with no state.
+        heap, n = [], 0
+        for q in starts:
+            if q in rest:
+                heapq.heappush(heap, (s.order(rest[q]), n, (q, s.one, None, None)))
+                n += 1
+        done, worst, labels = [], None, {}
+        while heap:
+            bound, _, node = heapq.heappop(heap)
+            if worst is not None and bound > worst + 1e-5 * max(1.0, abs(worst)):  # rounded bounds
+                break
+            q, w, before, last = node
+            if q is None:
+                x = before
+                ins, outs, states = [], [], [x[0]]
+                while x[2] is not None:
+                    ins.append(x[3][0])
+                    outs.append(x[3][1])
+                    x = x[2]
+                    states.append(x[0])
+                path = (s.order(w), ins[::-1], outs[::-1], states[::-1], w)
+                if unique:
+                    key = (tuple(path[1]), tuple(path[2]))
+                    if key in labels:
+                        if path < done[labels[key]]:
+                            done[labels[key]] = path
+                        continue
+                    labels[key] = len(done)
+                done.append(path)
+                # Paths as good as the k-th are all taken, for the ties.
+                if len(done) == k:
+                    worst = bound
+                continue
+            if q in finals:
+                end = s.times(w, finals[q])
+                heapq.heappush(heap, (s.order(end), n, (None, end, node, None)))
+                n += 1
+            passed = set()
+            if not free:
+                x = node
+                while x is not None:
+                    passed.add(x[0])
+                    x = x[2]
+            for d, i, o, v in after.get(q, ()):
+                if d in rest and d not in passed:
+                    new = s.times(w, v)
+                    heapq.heappush(heap, (s.order(s.times(new, rest[d])), n, (d, new, node, (i, o))))
+                    n += 1
+        return [(r + 1, p[4], p[1], p[2], p[3]) for r, p in enumerate(sorted(done)[:k])]
+
+    return walk
+
+
+def compose_rows(table: pa.Table, other: pa.Table, epsilon: bool) -> tuple[list, list]:
+    """Arcs (src, dst, index of the left arc, of the right arc) and states of a product, from rows kind (0 arc, 1 start), a,
+    b (its ends) and m (the label that is matched), in the order of the arcs. States are (s1, s2, f)."""
+    sides = []
+    for t in (table, other):
+        arcs: dict = {}
+        starts = []
+        for n, (kind, a, b, m) in enumerate(zip(*(t.column(c).to_pylist() for c in ("kind", "a", "b", "m")))):
+            if kind:
+                starts.append(b)
+            else:
+                arcs.setdefault((a, m), []).append((n, b))
+        sides.append((arcs, starts))
+    (left, first), (right, second) = sides
+    labels: dict = {}
+    for a, m in left:
+        labels.setdefault(a, []).append(m)
+    stack = [(x, y, 0) for x in dict.fromkeys(first) for y in dict.fromkeys(second)]
+    seen, out = set(stack), []
+    while stack:
+        here = stack.pop()
+        x, y, f = here
+        moves = []
+        for m in labels.get(x, ()):
+            if epsilon and not m:
+                continue
+            to = right.get((y, m))
+            if to:
+                moves += [(n, k, (d, e, 0)) for n, d in left[x, m] for k, e in to]
+        if epsilon:
+            alone, other_alone = left.get((x, 0), ()), right.get((y, 0), ())
+            if f != 2:
+                moves += [(n, None, (d, y, 1)) for n, d in alone]
+            if f != 1:
+                moves += [(None, k, (x, e, 2)) for k, e in other_alone]
+            if f == 0:
+                moves += [(n, k, (d, e, 0)) for n, d in alone for k, e in other_alone]
+        for n, k, to in moves:
+            out.append((here, to, n, k))
+            if to not in seen:
+                seen.add(to)
+                stack.append(to)
+    return out, list(seen)
+
+
+def refined(out: dict, into: dict, colour: dict) -> dict:
+    """Colours of states, refined by the colours and labels of their arcs both ways until they are stable."""
+    n = len(set(colour.values()))
+    while True:
+        sign = {q: (c, tuple(sorted((x, colour[d]) for x, d in out.get(q, ()))), tuple(sorted((x, colour[d]) for x, d in into.get(q, ())))) for q, c in colour.items()}
+        names = {x: i for i, x in enumerate(sorted(set(sign.values())))}
+        colour = {q: names[x] for q, x in sign.items()}
+        if len(names) == n:
+            return colour
+        n = len(names)
+
+
+def same_shape(rows: dict[str, list]) -> list[tuple]:
+    """(same,): whether two machines (side 0 and 1) are the same up to the names of states, from rows side, src, dst and
+    text (labels and weight; of a bare state, with a null src, whether it starts and its final weight).
+
+    Colours are refined over both machines at once. Where a colour has several states, one of the first machine gets a
+    colour of its own together with each candidate of the second in turn."""
+    out: dict = {}
+    into: dict = {}
+    colour: dict = {}
+    for side, a, d, text in zip(rows["side"], rows["src"], rows["dst"], rows["text"]):
+        if a is None:
+            colour[side, d] = text
+        else:
+            out.setdefault((side, a), []).append((text, (side, d)))
+            into.setdefault((side, d), []).append((text, (side, a)))
+    names = {x: i for i, x in enumerate(sorted(set(colour.values())))}
+    work = [iter([{q: names[x] for q, x in colour.items()}])]
+    while work:
+        now = next(work[-1], None)
+        if now is None:
+            work.pop()
+            continue
+        now = refined(out, into, now)
+        parts: dict = {}
+        for (side, q), c in now.items():
+            parts.setdefault(c, ([], []))[side].append((side, q))
+        if any(len(x) != len(y) for x, y in parts.values()):
+            continue
+        open_ones = [(len(x), c) for c, (x, _) in parts.items() if len(x) > 1]
+        if not open_ones:
+            return [(True,)]
+        x, y = parts[min(open_ones)[1]]
+        work.append({**now, x[0]: -1, z: -1} for z in y)
+    return [(False,)]

@@ -372,7 +372,7 @@ def pool(m: Fst) -> Fst:
 def language(m: Fst) -> DataFrame:
     """The accepted label strings of an acyclic acceptor."""
     one = rational.weight_convert(m, lambda w: F.lit(0.0), S.TROPICAL)
-    return distance.shortest_path(one, 1_000_000, unique=True).select(F.array_join(F.col("ilabels").cast("array<string>"), ",").alias("w")).distinct()
+    return distance.shortest_path(one, None, unique=True).select(F.array_join(F.col("ilabels").cast("array<string>"), ",").alias("w")).distinct()
 
 
 query("intersect", f"WITH {_CV} SELECT DISTINCT w FROM lang WHERE conv_id % 2 = 0 INTERSECT SELECT w FROM lang WHERE conv_id % 2 = 1")(lambda s, d: language(product.intersect(product.determinize(pool(cv(s, d, odd=0))), product.determinize(pool(cv(s, d, odd=1))))))

@@ -29,8 +29,10 @@ def transition_table(fst: Fst) -> tuple[int, dict, dict]:
     start = fst.starts.limit(2).collect()
     if len(start) != 1:
         raise InvalidOperation("a machine for streams has one start")
-    finals = {r["state"]: r["w"] for r in fst.finals.select("state", F.col("final_weight").cast("double").alias("w")).limit(MAX_ARCS).collect()}
-    return start[0]["state"], table, finals
+    ends = fst.finals.select("state", F.col("final_weight").cast("double").alias("w")).limit(MAX_ARCS + 1).collect()
+    if len(ends) > MAX_ARCS:
+        raise InvalidOperation(f"a machine for streams has at most {MAX_ARCS} finals")
+    return start[0]["state"], table, {r["state"]: r["w"] for r in ends}
 
 
 def run_stream(stream: DataFrame, fst: Fst, key: str, label: str, order: str, timeout_ms: int | None = None) -> DataFrame:
@@ -39,13 +41,14 @@ def run_stream(stream: DataFrame, fst: Fst, key: str, label: str, order: str, ti
     Returns (key, state, weight, accepted, dead, n) whenever a key has new rows: its state after them, the sum of the
     weights so far (tropical), whether it stands on a final, and how many labels it has read. A label without an arc
     makes the run dead. Rows of a micro-batch are taken in `order`. With timeout_ms, keys without rows are forgotten."""
-    start, table, finals = transition_table(fst)
+    held_table = stream.sparkSession.sparkContext.broadcast(transition_table(fst))
     out = "key string, state bigint, weight double, accepted boolean, dead boolean, n bigint"
 
     def step(name: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
+        start, table, finals = held_table.value
         state, weight, dead, n = held.get if held.exists else (start, 0.0, False, 0)
         rows = pd.concat(list(groups)).sort_values("__order")
         for x in rows["__label"]:
