@@ -62,8 +62,8 @@ def edit_distance(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 # -- spell checking ------------------------------------------------------------------------------
-def spell_check(lexicon: DataFrame, word: str, targets: DataFrame, target: str, k: int = 2, best: int = 10) -> DataFrame:
-    """(target, word, distance): for each target the `best` words within k edits.
+def spell_check(lexicon: DataFrame, word: str, targets: DataFrame, target: str, k: int = 2, best: int | None = 10) -> DataFrame:
+    """(target, word, distance): for each target the `best` words within k edits (None: all of them).
 
     The trie of the lexicon is composed with the Levenshtein automaton of all targets at once: a frontier row is a trie
     state with a place in a target and the edits so far. Each round reads one letter of the trie; only rows within k
@@ -84,6 +84,8 @@ def spell_check(lexicon: DataFrame, word: str, targets: DataFrame, target: str,
         step = j.select("target", "chars", "n", F.col("to").alias("at"), F.explode(moves).alias("m")).select("target", "chars", "n", "at", "m.i", "m.d").where(f"d <= {int(k)} and i <= n")
         front = rounds.add(least(spread(step)))
     found = rounds.rows().where("i = n").groupBy("target", "at").agg(F.min("d").alias("distance")).withColumnRenamed("at", "word").join(words, "word", "left_semi")
+    if best is None:
+        return found.select("target", "word", F.col("distance").cast("bigint").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("target").orderBy("distance", "word"))
     return found.withColumn("r", rank).where(F.col("r") <= best).select("target", "word", F.col("distance").cast("bigint").alias("distance"))
 
@@ -131,3 +133,88 @@ def analyze(words: DataFrame, word: str, stems: DataFrame, suffixes: DataFrame)
     cut = words.select(F.col(word).alias("word"), F.explode(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))).alias("i"))
     cut = cut.select("word", F.substring("word", F.lit(1), F.col("i")).alias("stem"), F.expr("substring(word, i + 1)").alias("suffix"))
     return cut.join(stems.select("stem").distinct(), "stem", "left_semi").join(suffixes.select("suffix").distinct(), "suffix", "left_semi").select("word", "stem", "suffix").distinct()
+
+
+# -- numbers and dates ---------------------------------------------------------------------------
+# The words of English numbers, and the names of the months.
+UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+SCALES = {"hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
+ORDINALS = {"first": 1, "second": 2, "third": 3, "fifth": 5, "eighth": 8, "ninth": 9, "twelfth": 12}
+MONTHS = "January February March April May June July August September October November December".split()
+
+
+def number_words() -> dict[str, int]:
+    """Words up to ninety with their values."""
+    return {w: i for i, w in enumerate(UNITS)} | {w: 10 * (i + 2) for i, w in enumerate(TENS)}
+
+
+def ordinal_words() -> dict[str, int]:
+    """Ordinals of number words and scales: irregular ones, and those made with -th and -ieth."""
+    plain = number_words() | SCALES
+    irregular = set(ORDINALS.values())
+    return ORDINALS | {(w[:-1] + "ieth" if w.endswith("y") else w + "th"): n for w, n in plain.items() if n and n not in irregular}
+
+
+def _map(values: dict) -> Column:
+    return F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, v)))
+
+
+def spell_number(n: Column) -> Column:
+    """A number from 0 to 999,999,999,999 in English words."""
+    small = F.array(*map(F.lit, UNITS))
+    tens = F.array(*map(F.lit, TENS))
+    n = n.cast("bigint")
+
+    def below_thousand(x: Column) -> Column:
+        rest = x % 100
+        two = F.when(rest == 0, F.lit(None)).when(rest < 20, F.get(small, rest.cast("int"))).otherwise(F.concat_ws("-", F.get(tens, (F.floor(rest / 10) - 2).cast("int")), F.when(rest % 10 > 0, F.get(small, (rest % 10).cast("int")))))
+        return F.concat_ws(" ", F.when(x >= 100, F.concat(F.get(small, F.floor(x / 100).cast("int")), F.lit(" hundred"))), two)
+
+    parts = [F.when(F.floor(n / v) % 1000 > 0, F.concat(below_thousand(F.floor(n / v) % 1000), F.lit(f" {w}"))) for w, v in reversed(SCALES.items()) if v >= 1000]
+    return F.when(n == 0, F.lit("zero")).otherwise(F.concat_ws(" ", *parts, F.when(n % 1000 > 0, below_thousand(n % 1000))))
+
+
+def numbers_to_digits(text: Column) -> Column:
+    """Runs of number words as digits, ordinals as 21st; all other words stay. Words are separated by blanks, and hyphens
+    within a number.
+
+    The words are folded from left to right: a group below a thousand is collected, a scale takes it to the sum, and any
+    other word, or a word that cannot go on with the group, ends the number."""
+    plain, scales, ordinals = _map(number_words()), _map(SCALES), _map(ordinal_words())
+    known = "|".join([*number_words(), *SCALES, *ordinal_words()])
+    words = F.split(F.regexp_replace(text, rf"(?i)\b({known})-(?=({known})\b)", "$1 "), " ")
+    none = F.lit(0).cast("bigint")
+    state = lambda out, total, group, on: F.struct(out.alias("out"), total.cast("bigint").alias("total"), group.cast("bigint").alias("group"), on.alias("on"))
+    number = lambda a: (a["total"] + a["group"]).cast("string")
+    ended = lambda a: F.when(a["on"], F.array_append(a["out"], number(a))).otherwise(a["out"])
+
+    def step(a: Column, word: Column) -> Column:
+        w = F.lower(word)
+        v, scale, nth = F.element_at(plain, w).cast("bigint"), F.element_at(scales, w).cast("bigint"), F.element_at(ordinals, w).cast("bigint")
+        low = a["group"] % 100
+        fits = lambda x: a["on"] & (low == 0) | a["on"] & (low >= 20) & (low % 10 == 0) & (x < 10) & (x > 0)
+        value = F.when(fits(nth), a["total"] + a["group"] + nth).when(a["on"] & (nth >= 100), F.when(nth == 100, a["total"] + a["group"] * 100).otherwise(a["total"] + a["group"] * nth)).otherwise(nth)
+        joined = fits(nth) | a["on"] & (nth >= 100)
+        ending = F.when((value % 100).between(11, 13), "th").when(value % 10 == 1, "st").when(value % 10 == 2, "nd").when(value % 10 == 3, "rd").otherwise("th")
+        return (
+            F.when(v.isNotNull(), F.when(fits(v), state(a["out"], a["total"], a["group"] + v, F.lit(True))).otherwise(state(ended(a), none, v, F.lit(True))))
+            .when(scale.isNotNull() & a["on"], F.when(scale == 100, state(a["out"], a["total"], a["group"] * 100, F.lit(True))).otherwise(state(a["out"], a["total"] + a["group"] * scale, none, F.lit(True))))
+            .when(nth.isNotNull(), state(F.array_append(F.when(joined, a["out"]).otherwise(ended(a)), F.concat(value.cast("string"), ending)), none, none, F.lit(False)))
+            .otherwise(state(F.array_append(ended(a), word), none, none, F.lit(False)))
+        )
+
+    empty = F.array().cast("array<string>")
+    return F.aggregate(words, state(empty, none, none, F.lit(False)), step, lambda a: F.array_join(ended(a), " "))
+
+
+def normalize_text(df: DataFrame, text: str, result: str = "result") -> DataFrame:
+    """df with `result`: numbers in words as digits, dates (March 5th, 2021) as 2021-03-05, sums in dollars as $5, and ten
+    digits of a telephone number as +1-555-123-4567."""
+    out = numbers_to_digits(F.col(text))
+    for i, month in enumerate(MONTHS, 1):
+        name = month if len(month) < 4 else rf"{month[:3]}(?:{month[3:]}|\.)?"
+        out = F.regexp_replace(out, rf"(?i)\b{name} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})\b", f"$2-{i:02d}-$1")
+    out = F.regexp_replace(out, r"\b(\d{4}-\d{2})-(\d)(?!\d)", "$1-0$2")
+    out = F.regexp_replace(out, r"(?<![\d-])(?:\+?1[ .-])?\(?(\d{3})\)?[ .-]?(\d{3})[ .-](\d{4})(?![\d-])", "+1-$1-$2-$3")
+    return df.withColumn(result, F.regexp_replace(out, r"(?i)\b(\d+) dollars?\b", r"\$$1"))

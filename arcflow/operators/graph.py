@@ -370,7 +370,9 @@ def properties(fst: Fst) -> DataFrame:
     cyclic = comp.groupBy("fst_id", "component").count().where("count > 1").select("fst_id").union(loops).distinct().withColumn("cyclic", F.lit(True))
     reach = fst.states.groupBy("fst_id").agg(F.count("*").alias("n_states"), F.count("final_weight").alias("n_finals"))
     na, nc = acc.groupBy("fst_id").agg(F.count("*").alias("n_acc")), coaccessible(fst).groupBy("fst_id").agg(F.count("*").alias("n_co"))
-    j = reach
+    at_start = comp.join(fst.starts, ["fst_id", "state"]).select("fst_id", "component")
+    round_start = at_start.join(comp.groupBy("fst_id", "component").count().where("count > 1"), ["fst_id", "component"], "left_semi").select("fst_id").union(loops_of(fst, fst.starts)).distinct().withColumn("round_start", F.lit(True))
+    j = reach.join(round_start, "fst_id", "left").join(twins(fst), "fst_id", "left")
     for t in (flags, degree("ilabel"), degree("olabel"), sort, fan, cyclic, na, nc):
         j = j.join(t, "fst_id", "left")
     no, yes = F.lit(False), F.lit(True)
@@ -378,13 +380,47 @@ def properties(fst: Fst) -> DataFrame:
     is_acc, is_co = f("n_acc", F.lit(0)) == F.col("n_states"), f("n_co", F.lit(0)) == F.col("n_states")
     return j.select(
         "fst_id", "n_states", f("n_arcs", F.lit(0)).alias("n_arcs"), "n_finals", f("epsilons").alias("epsilons"), f("input_epsilons").alias("input_epsilons"), f("output_epsilons").alias("output_epsilons"),
-        f("acceptor", yes).alias("acceptor"), f("weighted").alias("weighted"), f("cyclic").alias("cyclic"), is_acc.alias("accessible"), is_co.alias("coaccessible"), (is_acc & is_co).alias("connected"),
+        f("acceptor", yes).alias("acceptor"), f("weighted").alias("weighted"), f("cyclic").alias("cyclic"), (~f("round_start")).alias("initial_acyclic"), (f("i_deterministic", yes) & ~f("input_epsilons") | ~f("twins")).alias("unambiguous"), is_acc.alias("accessible"), is_co.alias("coaccessible"), (is_acc & is_co).alias("connected"),
         f("i_deterministic", yes).alias("input_deterministic"), f("o_deterministic", yes).alias("output_deterministic"), (f("i_deterministic", yes) & ~f("input_epsilons")).alias("functional"),
         f("input_sorted", yes).alias("input_sorted"), f("output_sorted", yes).alias("output_sorted"), f("top_sorted", yes).alias("top_sorted"),
         (f("single", yes) & (F.col("n_finals") == 1) & is_acc & ~f("cyclic")).alias("string"),
     )
 
 
+def loops_of(fst: Fst, states: DataFrame) -> DataFrame:
+    """fst_id of the machines in which one of the states has an arc to itself."""
+    own = fst.arcs.where(F.col("src").eqNullSafe(F.col("dst"))).select("fst_id", F.col("src").alias("state"))
+    return own.join(states.select("fst_id", "state"), ["fst_id", "state"], "left_semi").select("fst_id").distinct()
+
+
+def twins(fst: Fst) -> DataFrame:
+    """(fst_id, twins): the machines with two different paths of the same input labels from a start to finals.
+
+    Pairs of different states that the same inputs reach are followed (silent arcs count as a label of their own); machines
+    without two arcs of a label at some state, and with one start, are left out beforehand."""
+    arcs = fst.arcs.select("fst_id", "src", "ilabel", "dst", F.struct("olabel", "pos").alias("n"))
+    split = arcs.groupBy("fst_id", "src", "ilabel").count().where("count > 1").select("fst_id").union(fst.starts.groupBy("fst_id").count().where("count > 1").select("fst_id")).distinct()
+    split = store(split, "split")
+    if split.isEmpty():
+        return split.withColumn("twins", F.lit(True))
+    trim = fst.with_(arcs=fst.arcs.join(split, "fst_id", "left_semi"), states=fst.states.join(split, "fst_id", "left_semi"))
+    useful = store(coaccessible(trim).join(accessible(trim), ["fst_id", "state"], "left_semi"), "useful")
+    arcs = store(arcs.join(split, "fst_id", "left_semi").join(useful.withColumnRenamed("state", "src"), ["fst_id", "src"], "left_semi").join(useful.withColumnRenamed("state", "dst"), ["fst_id", "dst"], "left_semi").select("fst_id", "src", "ilabel", "dst", "n"), "edges")
+    x = arcs.select("fst_id", F.col("src").alias("p"), "ilabel", F.col("dst").alias("p2"), F.col("n").alias("n1"))
+    y = arcs.select("fst_id", F.col("src").alias("q"), "ilabel", F.col("dst").alias("q2"), F.col("n").alias("n2"))
+    # A pair is apart once its paths have taken different arcs.
+    ends = fst.starts.join(useful, ["fst_id", "state"], "left_semi")
+    seen = Rounds(fst.spark, "twins")
+    front = seen.add(ends.withColumnRenamed("state", "p").join(ends.withColumnRenamed("state", "q"), "fst_id").select("fst_id", "p", "q", (F.col("p") != F.col("q")).alias("apart")).distinct())
+    while seen.last:
+        step = front.join(x, ["fst_id", "p"]).join(y, ["fst_id", "q", "ilabel"])
+        step = step.select("fst_id", F.col("p2").alias("p"), F.col("q2").alias("q"), (F.col("apart") | (F.col("n1") != F.col("n2")) | (F.col("p2") != F.col("q2"))).alias("apart")).distinct()
+        front = seen.add(step.join(seen.rows(), ["fst_id", "p", "q", "apart"], "left_anti"))
+    last = fst.finals.select("fst_id", "state")
+    both = seen.rows().where("apart").join(last.withColumnRenamed("state", "p"), ["fst_id", "p"], "left_semi").join(last.withColumnRenamed("state", "q"), ["fst_id", "q"], "left_semi")
+    return both.select("fst_id").distinct().withColumn("twins", F.lit(True))
+
+
 def degree_statistics(fst: Fst) -> DataFrame:
     """By machine: mean, largest and spread of out-degrees, distinct labels and their entropy in bits."""
     out = fst.states.select("fst_id", "state").join(fst.arcs.groupBy("fst_id", F.col("src").alias("state")).count(), ["fst_id", "state"], "left").groupBy("fst_id").agg(F.avg(F.coalesce("count", F.lit(0))).alias("mean_degree"), F.max(F.coalesce("count", F.lit(0))).alias("max_degree"), F.stddev_pop(F.coalesce("count", F.lit(0))).alias("sd_degree"))

@@ -136,7 +136,9 @@ def encode(fst: Fst, labels: bool = True, weights: bool = True) -> tuple[Fst, Da
     table = store(table, "encode")
     t = table.select(F.col("code"), F.col("ilabel").alias("il"), F.col("olabel").alias("ol"), F.col("weight").alias("w"))
     coded = a.join(t, ["il", "ol", "w"])
-    out = coded.select("fst_id", "src", "pos", F.col("code").alias("ilabel"), (F.col("code") if labels else F.col("olabel")).alias("olabel"), (TROPICAL.cast(TROPICAL.one) if weights or s != TROPICAL else F.col("weight")).alias("weight"), "dst")
+    out = coded.select("fst_id", "src", "pos", F.col("code").alias("ilabel"), (F.col("code") if labels else F.col("olabel")).alias("olabel"), (TROPICAL.cast(TROPICAL.one) if weights else F.col("weight")).alias("weight"), "dst")
+    if not weights:
+        return Fst(out, fst.states, s), table
     states = fst.states.withColumn("final_weight", F.when(F.col("final_weight").isNotNull(), TROPICAL.cast(TROPICAL.one)))
     return Fst(out, states, TROPICAL), table
 
@@ -149,8 +151,11 @@ def decode(fst: Fst, table: DataFrame, semiring: Semiring, finals: DataFrame | N
     j = fst.arcs.join(t, fst.arcs["ilabel"] == t["code"], "left")
     bad = F.col("code").isNull() & (F.col("ilabel") != 0)
     known = lambda c, none: F.when(bad, F.raise_error(F.concat(F.lit("no such code: "), F.col("ilabel").cast("string"))).cast(c[1])).otherwise(F.coalesce(F.col(c[0]), none))
-    arcs = j.select("fst_id", "src", "pos", known(("i", "bigint"), F.lit(0).cast("bigint")).alias("ilabel"), known(("o", "bigint"), F.lit(0).cast("bigint")).alias("olabel"), known(("w", semiring.type), semiring.cast(semiring.one)).alias("weight"), "dst")
-    states = fst.states.withColumn("final_weight", F.when(F.col("final_weight").isNotNull(), semiring.cast(semiring.one)))
+    same = fst.semiring == semiring  # weights were not encoded, or are all one
+    w = known(("w", semiring.type), semiring.cast(semiring.one))
+    w = semiring.cast(semiring.times(F.col("weight"), w)) if same else w
+    arcs = j.select("fst_id", "src", "pos", known(("i", "bigint"), F.lit(0).cast("bigint")).alias("ilabel"), known(("o", "bigint"), F.lit(0).cast("bigint")).alias("olabel"), w.alias("weight"), "dst")
+    states = fst.states if same else fst.states.withColumn("final_weight", F.when(F.col("final_weight").isNotNull(), semiring.cast(semiring.one)))
     if finals is not None:
         states = fst.states.drop("final_weight").join(finals.select("fst_id", "state", "final_weight"), ["fst_id", "state"], "left").select(*STATE)
     return Fst(arcs, states, semiring)

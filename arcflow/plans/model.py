@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidOperation
 from ..functions.semiring import Semiring
-from .storage import store
+from .storage import fresh_path, store
 
 EPSILON = 0
 ARC = ["fst_id", "src", "pos", "ilabel", "olabel", "weight", "dst"]
@@ -163,3 +164,35 @@ def move_states(fst: Fst, by: DataFrame) -> Fst:
     arcs = fst.arcs.join(by, "fst_id", "left").withColumns({"src": F.col("src") + F.coalesce("n", F.lit(0)), "dst": F.col("dst") + F.coalesce("n", F.lit(0))}).select(*ARC)
     states = fst.states.join(by, "fst_id", "left").withColumn("state", F.col("state") + F.coalesce("n", F.lit(0))).select(*STATE)
     return fst.with_(arcs=arcs, states=states)
+
+
+# -- how machines are kept -----------------------------------------------------------------------
+def materialize(fst: Fst, strategy: str = "production", level: str = "MEMORY_AND_DISK") -> Fst:
+    """The same machines, kept in another way.
+
+    construction: the plans as they are, cheap to change. production: written once to the shared folder, clustered by
+    machine and state and sorted by place, so that filters skip row groups. memory_constraints: the same with the
+    strongest compression. repeated_access: persisted at a storage level (call `release` after use). sparse_access:
+    nothing is computed before it is asked for."""
+    if strategy in ("construction", "sparse_access"):
+        return fst
+    if strategy == "repeated_access":
+        kept = getattr(StorageLevel, level, None)
+        if kept is None:
+            raise InvalidOperation(f"no storage level {level}")
+        return fst.with_(arcs=fst.arcs.select(*ARC).persist(kept), states=fst.states.select(*STATE).persist(kept))
+    if strategy in ("production", "memory_constraints"):
+        codec = {"compression": "zstd", "parquet.compression.codec.zstd.level": "19"} if strategy == "memory_constraints" else {}
+        parts = []
+        for name, df, keys in (("arcs", fst.arcs.select(*ARC), ["fst_id", "src", "pos"]), ("states", fst.states.select(*STATE), ["fst_id", "state"])):
+            path = fresh_path(fst.spark, f"kept-{name}")
+            df.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys).write.options(**codec).parquet(path)
+            parts.append(fst.spark.read.schema(df.schema).parquet(path))
+        return fst.with_(arcs=parts[0], states=parts[1])
+    raise InvalidOperation(f"no strategy {strategy}")
+
+
+def release(fst: Fst) -> None:
+    """Give up what materialize(..., "repeated_access") persists."""
+    fst.arcs.unpersist()
+    fst.states.unpersist()

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import semiring as S
-from .operators import apps, distance, epsilon, graph, product, rational
-from .plans.model import ARC, Fst, arcs_of, from_edges, from_sequences
-from .plans.storage import store
+from .operators import apps, distance, epsilon, graph, lazy, product, rational
+from .plans.model import ARC, Fst, arcs_of, build, from_edges, from_sequences, materialize
+from .plans.storage import fresh_path, store
 from .sources import formats
+from .streaming.run import run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -495,8 +496,6 @@ query("tropical_roundtrip", _OT_FLOOR)(lambda s, d: plain_arcs(formats.parse_bin
 
 @query("parquet_roundtrip", _OT_FLOOR)
 def _(s, d):
-    from .plans.storage import fresh_path
-
     formats.write_parquet(small_ot(s, d), path := fresh_path(s, "parquet"))
     return plain_arcs(formats.read_parquet(s, path, S.TROPICAL))
 
@@ -533,18 +532,19 @@ def _(s, d):
 query("transliterate", "SELECT DISTINCT p_name, replace(replace(replace(p_name, 'ee', 'i'), 'l', 'r'), 'w', 'vv') AS result FROM part")(lambda s, d: apps.transliterate(table(s, d, "part").select("p_name").distinct(), "p_name", {"ee": "i", "l": "r", "w": "vv"}))
 
 
+def shift(s, a: str, b: str) -> Fst:
+    """A rule that writes b for a, over the lower-case letters."""
+    letters = s.range(97, 123).select(F.col("id").alias("c"))
+    arcs = arcs_of(letters, S.TROPICAL, src=F.lit(0).cast("bigint"), dst=F.lit(0).cast("bigint"), pos="c", ilabel="c", olabel=F.when(F.col("c") == ord(a), ord(b)).otherwise(F.col("c")).cast("bigint"))
+    one = s.range(1).select(F.lit(0).cast("bigint").alias("fst_id"), F.lit(0).cast("bigint").alias("state"))
+    return from_edges(arcs, one, one.withColumn("final_weight", F.lit(0.0).cast("float")), S.TROPICAL)
+
+
 @query("rule_cascade", f"WITH {_WORDS} SELECT w, replace(replace(replace(w, 'a', 'e'), 'e', 'i'), 'i', 'o') AS result FROM words")
 def _(s, d):
     """Vowel shifts as transducers over the letters: a to e, then e to i, then i to o."""
     w = store(part_words(s, d).withColumn("fst_id", F.xxhash64("w")), "words")
-    letters = s.range(97, 123).select(F.col("id").alias("c"))
-
-    def shift(a: str, b: str) -> Fst:
-        arcs = arcs_of(letters, S.TROPICAL, src=F.lit(0).cast("bigint"), dst=F.lit(0).cast("bigint"), pos="c", ilabel="c", olabel=F.when(F.col("c") == ord(a), ord(b)).otherwise(F.col("c")).cast("bigint"))
-        one = s.range(1).select(F.lit(0).cast("bigint").alias("fst_id"), F.lit(0).cast("bigint").alias("state"))
-        return from_edges(arcs, one, one.withColumn("final_weight", F.lit(0.0).cast("float")), S.TROPICAL)
-
-    out = distance.shortest_path(apps.apply_rules(apps.string_acceptors(w, "fst_id", "w"), [shift("a", "e"), shift("e", "i"), shift("i", "o")]))
+    out = distance.shortest_path(apps.apply_rules(apps.string_acceptors(w, "fst_id", "w"), [shift(s, "a", "e"), shift(s, "e", "i"), shift(s, "i", "o")]))
     return out.select("fst_id", F.array_join(F.transform("olabels", lambda c: F.char(c)), "").alias("result")).join(w, "fst_id").select("w", "result")
 
 
@@ -553,3 +553,212 @@ def _(s, d):
     """Random walks over event types from a click to a purchase; each is a path of the machine (tested)."""
     return distance.random_paths(ev(s, d), 20, seed=7).select("path", F.array_join(F.col("ilabels").cast("array<string>"), ",").alias("labels"))
 
+
+
+# -- further operators, helpers and options ------------------------------------------------------
+query("arc_sum_gallic_union", f"WITH {SUP} SELECT src, ilabel, olabel, dst, CASE WHEN {_ONE} THEN {_ALL} ELSE '7' END AS labels, min(w) AS w FROM sup GROUP BY 1, 2, 3, 4")(lambda s, d: gallic_sum(s, d, "union"))
+
+
+@query("weight_helpers", """SELECT p_partkey, round(1 / x, 6) AS inverse, round(1 / (1 - x), 6) AS real_star, CASE WHEN x >= 1 THEN 'Infinity'::DOUBLE ELSE round(1 / (1 - x), 6) END AS probability_star,
+  round(-ln(x), 6) AS log, round(exp(-x), 6) AS back, round(-ln(1 - exp(-x)), 6) * -1 AS log_star, p_size / 7.0 AS fraction
+FROM (SELECT p_partkey, p_size, p_retailprice / 1000 AS x FROM part) WHERE x <> 1""".replace("round(-ln(1 - exp(-x)), 6) * -1", "round(ln(1 - exp(-x)), 6)").replace("p_size / 7.0", "round(p_size / 7, 6)"))
+def _(s, d):
+    x = F.col("p_retailprice") / 1000
+    r = lambda c, n: F.round(c, 6).alias(n)
+    rows = table(s, d, "part").where(x != 1)
+    return rows.select("p_partkey", r(S.inverse(x), "inverse"), r(S.REAL.star(x), "real_star"), r(S.PROBABILITY.star(x), "probability_star"), r(S.log_from_probability(x), "log"), r(S.log_to_probability(x), "back"), r(S.LOG.star(x), "log_star"), r(S.real_from_fraction(F.col("p_size"), F.lit(7)), "fraction"))
+
+
+query("compose_filter", f"WITH {OT} SELECT fst_id, src, ilabel, CASE WHEN olabel <= 50 THEN 1 ELSE 2 END::BIGINT AS olabel, dst FROM ot")(
+    lambda s, d: product.compose(m := ot(s, d), rational.transform_arcs(rules(m, m.semiring), ilabel=F.col("ilabel") - 48), match=lambda o, i: o - 48 == i).arcs.select("fst_id", F.col("src.s1").alias("src"), "ilabel", "olabel", F.col("dst.s1").alias("dst"))
+)
+
+
+@query("compose_insertions", f"WITH {OT} SELECT fst_id, src AS s1, 0 AS s2, ilabel, olabel, dst AS d1, 1 AS d2 FROM ot UNION ALL SELECT fst_id, dst, 1, 0, 7, dst, 0 FROM ot")
+def _(s, d):
+    """A machine that writes 7 behind every label, on an arc that reads nothing."""
+    m = ot(s, d)
+    letters = s.range(49, 54).select(F.lit(0).alias("s"), F.lit(1).alias("t"), F.col("id").alias("i"), F.col("id").alias("o"))
+    edges = letters.union(s.range(1).select(F.lit(1).alias("s"), F.lit(0).alias("t"), F.lit(0).cast("bigint").alias("i"), F.lit(7).cast("bigint").alias("o")))
+    arcs = arcs_of(edges, m.semiring, src=F.col("s").cast("bigint"), dst=F.col("t").cast("bigint"), ilabel="i", olabel="o", pos="i")
+    one = s.range(1).select(F.lit(0).cast("bigint").alias("fst_id"), F.lit(0).cast("bigint").alias("state"))
+    rule = from_edges(arcs, one, one.withColumn("final_weight", F.lit(1.0)), m.semiring)
+    a = product.compose(m, rule, epsilon=True, shared=True).arcs
+    # The filter's mark tells how a state was reached, so the same arc may leave two marks of a state.
+    return a.select("fst_id", "src.s1", F.col("src.s2").cast("int").alias("s2"), "ilabel", "olabel", F.col("dst.s1").alias("d1"), F.col("dst.s2").cast("int").alias("d2")).distinct()
+
+
+query("determinize_language", f"WITH {_CV} SELECT DISTINCT w FROM lang")(lambda s, d: language(product.determinize(pool(cv(s, d)))))
+query("minimize_language", f"WITH {_CV} SELECT DISTINCT w FROM lang")(lambda s, d: language(product.minimize(pool(cv(s, d)))))
+
+
+@query("minimize_cycles", "SELECT s_suppkey AS fst_id, 3::BIGINT AS n_states, (s_nationkey + 4)::DOUBLE AS best FROM supplier")
+def _(s, d):
+    """By supplier: x/1 and y/2 to two states that read z at weights 3 and 2 into a final, from which w leads back; the two
+    states have the same future up to a weight, so three states suffice. The final weighs the supplier's nation."""
+    sup_ = table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("fst_id"), F.col("s_nationkey").alias("n"))
+    arc = lambda a, i, w, b: F.struct(F.lit(a).cast("bigint").alias("s"), F.lit(i).cast("bigint").alias("i"), F.lit(w).cast("float").alias("w"), F.lit(b).cast("bigint").alias("t"))
+    edges = sup_.select("fst_id", F.explode(F.array(arc(0, 1, 1.0, 1), arc(0, 2, 2.0, 2), arc(1, 3, 3.0, 3), arc(2, 3, 2.0, 3), arc(3, 4, 0.5, 0))).alias("e")).select("fst_id", "e.*")
+    arcs = arcs_of(edges, S.TROPICAL, fst_id="fst_id", src="s", dst="t", ilabel="i", pos="i", weight="w")
+    m = from_edges(arcs, sup_.select("fst_id", F.lit(0).cast("bigint").alias("state")), sup_.select("fst_id", F.lit(3).cast("bigint").alias("state"), F.col("n").cast("float").alias("final_weight")), S.TROPICAL)
+    least = product.minimize(m)
+    best = distance.shortest_path(least).select("fst_id", F.round(F.col("weight").cast("double"), 3).alias("best"))
+    return least.counts().select("fst_id", "n_states").join(best, "fst_id")
+
+
+@query("isomorphic_ties", "SELECT s_suppkey AS fst_id, s_suppkey % 3 <> 0 AS same FROM supplier")
+def _(s, d):
+    """Two arcs of the same label and weight to states that only their futures tell apart, listed in the other order."""
+    sup_ = table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("fst_id"))
+
+    def one(first: int, second: int, last: Column) -> Fst:
+        arc = lambda a, i, b: F.struct(F.lit(a).cast("bigint").alias("s"), (i if isinstance(i, Column) else F.lit(i)).cast("bigint").alias("i"), F.lit(b).cast("bigint").alias("t"))
+        edges = sup_.select("fst_id", F.explode(F.array(arc(0, 1, 1), arc(0, 1, 2), arc(first, 5, 3), arc(second, last, 3))).alias("e")).select("fst_id", "e.*")
+        arcs = arcs_of(edges, S.TROPICAL, fst_id="fst_id", src="s", dst="t", ilabel="i", pos="i")
+        return from_edges(arcs, sup_.select("fst_id", F.lit(0).cast("bigint").alias("state")), sup_.select("fst_id", F.lit(3).cast("bigint").alias("state"), F.lit(0.0).cast("float").alias("final_weight")), S.TROPICAL)
+
+    return graph.isomorphic(one(1, 2, F.lit(6)), one(2, 1, F.when(F.col("fst_id") % 3 == 0, 7).otherwise(6)))
+
+
+def line(s, n: int) -> Fst:
+    """A chain of n arcs with weights 1 to 7."""
+    arcs = arcs_of(s.range(n), S.TROPICAL, src="id", dst=F.col("id") + 1, ilabel=F.col("id") % 7 + 1, weight=F.col("id") % 7 + 1)
+    one = s.range(1)
+    return from_edges(arcs, one.select(F.lit(0).cast("bigint").alias("fst_id"), F.lit(0).cast("bigint").alias("state")), one.select(F.lit(0).cast("bigint").alias("fst_id"), F.lit(n).cast("bigint").alias("state"), F.lit(0.0).alias("final_weight")), S.TROPICAL)
+
+
+_LINE = "WITH l AS (SELECT range AS i, range % 7 + 1 AS w FROM range(10000))"
+query("chain_distance", _LINE + " SELECT 0::BIGINT AS state, 0.0::DOUBLE AS weight UNION ALL SELECT i + 1, sum(w) OVER (ORDER BY i)::DOUBLE FROM l")(lambda s, d: distance.shortest_distance(line(s, 10_000)).select("state", F.col("weight").cast("double").alias("weight")))
+query("chain_path", _LINE + " SELECT sum(w)::DOUBLE AS weight, count(*)::BIGINT AS n, sum(w * (i % 1000))::BIGINT AS labels FROM l")(
+    lambda s, d: distance.shortest_path(line(s, 10_000)).select(F.col("weight").cast("double").alias("weight"), F.size("ilabels").cast("bigint").alias("n"), F.expr("aggregate(transform(ilabels, (x, i) -> x * (i % 1000)), 0L, (a, x) -> a + x)").alias("labels"))
+)
+
+
+def supply(s, d) -> Fst:
+    """0 to parts (their size) to suppliers (quantity of a line); suppliers are final (their nation)."""
+    p, li, su = (table(s, d, t) for t in ("part", "lineitem", "supplier"))
+    long = lambda x: x.cast("bigint")
+    a = p.select(F.lit(0).cast("bigint").alias("s"), long(F.col("p_partkey") + 1_000_000_000).alias("t"), F.col("p_size").cast("double").alias("w"))
+    b = li.select(long(F.col("l_partkey") + 1_000_000_000).alias("s"), long(F.col("l_suppkey") + 2_000_000_000).alias("t"), F.col("l_quantity").cast("double").alias("w"))
+    arcs = arcs_of(a.union(b), S.TROPICAL, src="s", dst="t", ilabel="t", weight="w")
+    one = F.lit(0).cast("bigint").alias("fst_id")
+    return from_edges(arcs, s.range(1).select(one, F.lit(0).cast("bigint").alias("state")), su.select(one, long(F.col("s_suppkey") + 2_000_000_000).alias("state"), F.col("s_nationkey").alias("final_weight")), S.TROPICAL)
+
+
+_SUPPLY = "WITH t AS (SELECT (p_size + l_quantity + s_nationkey)::DOUBLE AS w, (p_partkey + 1000000000)::VARCHAR || ',' || (s_suppkey + 2000000000)::VARCHAR AS labels, s_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"
+query("k_shortest_supply", _SUPPLY + " SELECT row_number() OVER (ORDER BY w, labels) AS rank, w AS weight, labels FROM t QUALIFY rank <= 20")(lambda s, d: shown(distance.shortest_path(supply(s, d), 20)))
+query("shortest_distance_supply", _SUPPLY + " SELECT (s_suppkey + 2000000000)::BIGINT AS state, min(w) AS weight FROM t GROUP BY 1")(
+    lambda s, d: distance.shortest_distance(m := supply(s, d)).join(m.finals, ["fst_id", "state"]).where("not isnan(weight) and weight < double('infinity')").select("state", (F.col("weight") + F.col("final_weight")).cast("double").alias("weight"))
+)
+
+_TREE = f"WITH {GEO}, t AS (SELECT 1 AS level, dst AS reg, 0 AS nat, 0 AS cus, dst AS old FROM geo WHERE src = 0 UNION ALL SELECT 2, g.src, g.dst, 0, g.dst FROM geo g JOIN region ON g.src = r_regionkey + 1 UNION ALL SELECT 3, n.src, g.src, g.dst, g.dst FROM geo g JOIN geo n ON n.dst = g.src WHERE g.src >= 100)"
+for _by, _keys in (("breadth", "level, reg, nat, cus"), ("depth", "reg, nat, cus"), ("topological", "level, old")):
+    query(f"state_order_{_by}", f"{_TREE} SELECT old, row_number() OVER (ORDER BY {_keys}) AS new FROM t")(
+        lambda s, d, by=_by: graph.state_sort((m := geo(s, d)).with_(arcs=m.arcs.withColumn("pos", F.col("ilabel"))), by).arcs.select(F.col("ilabel").alias("old"), F.col("dst").alias("new"))
+    )
+
+query("push_weights_final", _THROUGH + " SELECT cus AS state, (a + b + c)::DOUBLE AS weight FROM t")(lambda s, d: distance.push_weights(geo(s, d), to="final").finals.select("state", F.col("final_weight").cast("double").alias("weight")))
+query("encode_labels", _KINDS.replace("ilabel, olabel, w, row_number() OVER (ORDER BY ilabel, olabel, w) AS code FROM (SELECT DISTINCT ilabel, olabel, w FROM r)", "ilabel, olabel, row_number() OVER (ORDER BY ilabel, olabel) AS code FROM (SELECT DISTINCT ilabel, olabel FROM r)") + " SELECT fst_id, src, code AS ilabel, w AS weight, dst FROM r JOIN kinds USING (ilabel, olabel)")(
+    lambda s, d: rational.encode(coarse(s, d), weights=False)[0].arcs.select("fst_id", "src", "ilabel", "weight", "dst")
+)
+query("recommend_storage", f"WITH {OT}, c AS (SELECT fst_id, count(*) AS n, count(DISTINCT ilabel) AS k FROM ot GROUP BY 1) SELECT fst_id, CASE WHEN k < 10 THEN 'delta' WHEN n > 10000 THEN 'lz4' ELSE 'plain' END AS codec FROM c")(lambda s, d: graph.recommend_storage(ot(s, d)))
+
+_STORED = f"WITH {OT} SELECT fst_id, src, ilabel, olabel, weight, dst FROM ot"
+for _strategy in ("construction", "production", "memory_constraints", "repeated_access", "sparse_access"):
+    query(f"materialize_{_strategy}", _STORED)(lambda s, d, k=_strategy: materialize(ot(s, d), k).arcs.drop("pos"))
+
+
+@query("text_files", f"WITH {GEO} SELECT src, dst AS ilabel, dst, w::DOUBLE AS weight FROM geo")
+def _(s, d):
+    formats.write_text(geo(s, d), path := fresh_path(s, "text"))
+    return number(formats.read_text(s, path, S.TROPICAL).arcs.select(F.col("src").cast("bigint").alias("src"), "ilabel", F.col("dst").cast("bigint").alias("dst"), "weight"))
+
+
+@query("lazy_expand", "SELECT s_suppkey AS fst_id, r.range AS src, l.range AS ilabel, (2 * r.range + l.range) % (s_suppkey % 211 + 2) AS dst FROM supplier, range(213) r, range(2) l WHERE r.range < s_suppkey % 211 + 2")
+def _(s, d):
+    """By supplier the machine of binary numbers by their remainder, made from 0 on."""
+    starts = table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("fst_id"), F.lit(0).cast("bigint").alias("state"))
+    digits = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ilabel")
+    step = lambda front: front.select("fst_id", F.col("state").alias("src"), digits).select("fst_id", "src", F.col("ilabel").alias("pos"), "ilabel", F.col("ilabel").alias("olabel"), F.lit(0.0).cast("float").alias("weight"), ((2 * F.col("src") + F.col("ilabel")) % (F.col("fst_id") % 211 + 2)).alias("dst"))
+    return lazy.expand(starts, step, lambda st: st.where("state = 0").withColumn("final_weight", F.lit(0.0)), S.TROPICAL).arcs.select("fst_id", "src", "ilabel", "dst")
+
+
+@query("normalize_text", "SELECT o_orderkey, 'pay $' || o_custkey || ' by ' || strftime(o_orderdate, '%Y-%m-%d') AS result FROM orders")
+def _(s, d):
+    """Sums and dates in words, written by the inverse operator, and read back."""
+    o = table(s, d, "orders")
+    text = F.concat(F.lit("pay "), apps.spell_number(F.col("o_custkey")), F.lit(" dollars by "), F.date_format("o_orderdate", "MMMM d, yyyy"))
+    return apps.normalize_text(o.select("o_orderkey", text.alias("t")), "t").select("o_orderkey", "result")
+
+
+@query("pronounce", f"WITH {_WORDS} SELECT w AS word, CASE WHEN length(w) % 2 = 1 THEN upper(w) ELSE replace(replace(w, 'ee', 'i'), 'c', 'k') END AS pronunciation, CASE WHEN length(w) % 2 = 1 THEN 'lexicon' ELSE 'rules' END AS source FROM words")
+def _(s, d):
+    w = part_words(s, d)
+    lexicon = w.where(F.length("w") % 2 == 1).select(F.col("w").alias("word"), F.upper("w").alias("pronunciation"))
+    return apps.pronounce(w, "w", lexicon, {"ee": "i", "c": "k"})
+
+
+@query("analyze", f"WITH {_WORDS}, cut AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words), parts AS (SELECT w AS word, substr(w, 1, i) AS stem, substr(w, i + 1) AS suffix FROM cut) SELECT * FROM parts WHERE stem IN (SELECT substr(w, 1, 3) FROM words) AND suffix IN (SELECT substr(w, 4) FROM words)")
+def _(s, d):
+    w = part_words(s, d)
+    return apps.analyze(w, "w", w.select(F.substring("w", 1, 3).alias("stem")), w.select(F.expr("substring(w, 4)").alias("suffix")))
+
+
+query("spell_check_names", "WITH c AS (SELECT DISTINCT c_name AS w FROM customer), t AS (SELECT DISTINCT substr(c_name, 1, 13) || substr(c_name, 15) AS target FROM customer WHERE c_custkey % 97 = 0) SELECT target, w AS word, levenshtein(target, w)::BIGINT AS distance FROM t, c WHERE levenshtein(target, w) <= 1")(
+    lambda s, d: apps.spell_check(c := table(s, d, "customer"), "c_name", c.where("c_custkey % 97 = 0").select(F.concat(F.substring("c_name", 1, 13), F.expr("substring(c_name, 15)")).alias("target")), "target", 1, None)
+)
+
+
+@query("rule_cascade_six", f"WITH {_WORDS} SELECT w, translate(w, 'abcdef', 'gggggg') AS result FROM words")
+def _(s, d):
+    """Six rules one after another: a to b, b to c and so on to g."""
+    w = store(part_words(s, d).withColumn("fst_id", F.xxhash64("w")), "words")
+    out = distance.shortest_path(apps.apply_rules(apps.string_acceptors(w, "fst_id", "w"), [shift(s, chr(c), chr(c + 1)) for c in range(97, 103)]))
+    return out.select("fst_id", F.array_join(F.transform("olabels", lambda c: F.char(c)), "").alias("result")).join(w, "fst_id").select("w", "result")
+
+
+@query("validate_grammar", "SELECT 'rule ' || (n_nationkey + 1000) || ' has no start' AS problem FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'rules are recursive'")
+def _(s, d):
+    """A rule for each nation, a fifth of them without a start, and one that calls itself."""
+    n = table(s, d, "nation").select((F.col("n_nationkey") + 1000).cast("bigint").alias("f"), "n_nationkey")
+    arcs = arcs_of(n.withColumn("i", F.when(F.col("n_nationkey") == 1, F.col("f")).otherwise(7)), S.TROPICAL, fst_id="f", src=F.lit(0).cast("bigint"), dst=F.lit(1).cast("bigint"), ilabel=F.col("i").cast("bigint"))
+    key = n.select(F.col("f").alias("fst_id"), "n_nationkey")
+    m = from_edges(arcs, key.where("n_nationkey % 5 <> 0").select("fst_id", F.lit(0).cast("bigint").alias("state")), key.select("fst_id", F.lit(1).cast("bigint").alias("state"), F.lit(0.0).alias("final_weight")), S.TROPICAL)
+    return s.createDataFrame([(x,) for x in graph.validate_grammar(m, 1001)], "problem string")
+
+
+@query("replace_options", "SELECT unnest(['7,102,97,98,8', '7,102,99,8']) AS w")
+def _(s, d):
+    """A rule of strings in a sentence, with its label kept on the way in."""
+    rule = graph.string_rule(s, S.TROPICAL, 102, ["ab", "c"])
+    top = build(s, S.TROPICAL, {100: {"arcs": [(0, 7, 7, 0.0, 1), (1, 102, 102, 0.0, 2), (2, 8, 8, 0.0, 3)], "start": 0, "finals": {3: 0.0}}})
+    both = Fst(top.arcs.unionByName(rule.arcs), top.states.unionByName(rule.states), S.TROPICAL)
+    return language(graph.replace(both, 100, max_depth=5, keep_label=True, remove_epsilon=True))
+
+
+@query("stream_run", "SELECT user_id::VARCHAR AS key, count(*)::BIGINT AS n, max_by(event_type, (ts, event_id)) = 'purchase' AS accepted FROM events GROUP BY user_id")
+def _(s, d):
+    """A stream of events through the machine whose state is the last event; purchases are final."""
+    e = table(s, d, "events")
+    kinds = e.select(F.col("event_type").alias("k")).distinct()
+    code = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 31)) + 1
+    froms = kinds.select(code("k").alias("a")).union(s.range(1))
+    edges = froms.crossJoin(kinds.select(code("k").alias("b"), F.col("k")))  # a few event types
+    one = F.lit(0).cast("bigint").alias("fst_id")
+    m = from_edges(arcs_of(edges, S.TROPICAL, src="a", dst="b", ilabel="b"), s.range(1).select(one, F.col("id").alias("state")), kinds.where("k = 'purchase'").select(one, code("k").alias("state"), F.lit(0.0).alias("final_weight")), S.TROPICAL)
+    path = fresh_path(s, "stream")
+    source = s.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.endswith(".parquet") else s.readStream.schema(e.schema).parquet(d)
+    rows = source.select(F.col("user_id").cast("string").alias("u"), code("event_type").alias("l"), F.struct("ts", "event_id").alias("t"))
+    rows = rows.withColumn("t", F.unix_micros(F.col("t.ts").cast("timestamp")) * 1000 + F.pmod(F.col("t.event_id"), F.lit(1000)))
+    found = run_stream(rows, m, "u", "l", "t")
+    found.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = s.read.schema(found.schema).parquet(f"{path}/out").groupBy("key").agg(F.max("n").alias("n"), F.max_by("accepted", "n").alias("accepted"))
+    return last
+
+
+query("properties_branching", f"WITH {GEO} SELECT (SELECT count(*) FROM geo)::BIGINT AS n_arcs, FALSE AS cyclic, TRUE AS initial_acyclic, TRUE AS unambiguous, TRUE AS input_deterministic, TRUE AS weighted, FALSE AS string, FALSE AS accessible")(
+    lambda s, d: graph.properties(geo(s, d, orphans=True).with_()).select((F.col("n_arcs") - table(s, d, "customer").count()).alias("n_arcs"), "cyclic", "initial_acyclic", "unambiguous", "input_deterministic", "weighted", "string", "accessible")
+)
+query("properties_cycles", f"WITH {EV} SELECT count(*)::BIGINT AS n_arcs, TRUE AS cyclic, FALSE AS initial_acyclic, TRUE AS unambiguous, TRUE AS input_deterministic, TRUE AS weighted, FALSE AS string FROM ev")(
+    lambda s, d: graph.properties(ev(s, d)).select("n_arcs", "cyclic", "initial_acyclic", "unambiguous", "input_deterministic", "weighted", "string")
+)
