@@ -10,8 +10,8 @@ Words repeat, so a bounded cache of two generations keeps the results for white-
 
 Defined results: a null or empty text has no tokens; special tokens written in a text keep their ids, as the
 tokenizers library does; repeated rows give repeated results; columns that the operator does not use are
-passed through when named in `keep`. Letters and digits that Unicode 16 added may be split in another way than by
-a library built on an older version of Unicode.
+passed through when named in `keep`, as input_<name> where they bear the name of one of the result's. Letters that are
+newer than Python's Unicode tables are classed and normalised by the tables of the tokenizers library, if it is there.
 """
 
 from __future__ import annotations
@@ -28,6 +28,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+try:
+    import tokenizers
+except ImportError:  # then letters newer than Python's Unicode tables are symbols
+    tokenizers = None
+
 from .common import Carry, released
 
 #: Parts from which on a word's merges are kept in a heap.
@@ -45,10 +50,15 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def unknown_letters() -> str:
-    """Letters and digits that the regex module knows and Python's Unicode tables do not yet: symbols to the tokenizer."""
-    found = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x10FFFF) if not 0xD800 <= c < 0xE000))
-    return "".join(c for c in found if unicodedata.category(c) == "Cn")
+def newer_letters() -> tuple[str, str]:
+    """Letters and digits that the regex module knows and Python's Unicode tables do not yet, and those of them that are
+    neither to the tokenizers library, whose tables are of a third age (all of them where it is not installed)."""
+    found = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
+    newer = "".join(c for c in found if unicodedata.category(c) == "Cn")
+    if tokenizers is None:
+        return newer, newer
+    pieces = tokenizers.pre_tokenizers.Split(tokenizers.Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(newer)
+    return newer, "".join(t for t, _ in pieces)
 
 
 class RankArrayBPE:
@@ -72,7 +82,9 @@ class RankArrayBPE:
             self.merged.append(vocab[a + b])
         splits = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.usual = regex.compile(splits).findall
-        newer = f"[{unknown_letters()}]"
+        known, unknown = newer_letters()
+        self.newer = frozenset(known)
+        newer = f"[{unknown}]" if unknown else "[^\\s\\S]"
         for kind in ("L", "N"):
             splits = splits.replace(rf"[\p{{{kind}}}]", rf"[\p{{{kind}}}--{newer}]")
         splits = splits.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{newer})")
@@ -141,6 +153,8 @@ class RankArrayBPE:
 
     # -- texts -----------------------------------------------------------------------------------
     def normalize(self, chunk: str) -> str:
+        if tokenizers is not None and not self.newer.isdisjoint(chunk):
+            return NORMALIZER.normalize_str(chunk)  # cases and compositions of letters that Python does not know
         chunk = unicodedata.normalize("NFC", chunk)
         return chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
 
@@ -191,6 +205,7 @@ class RankArrayBPE:
         return " ".join(self.names[int(i)] for i in ids if int(i) in self.names)
 
 
+NORMALIZER = tokenizers and tokenizers.normalizers.Sequence([tokenizers.normalizers.NFC(), tokenizers.normalizers.Lowercase()])
 #: Characters that str.split() takes for white space and the tokenizer's pattern does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 

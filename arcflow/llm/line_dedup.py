@@ -8,6 +8,8 @@ State (Parquet in a folder of the store):
 A line's key is the line stripped of the six ASCII white-space characters with A-Z lower-cased; keys of fewer than
 `MIN_CHARS` code points are never counted. Keys are held as 128-bit BLAKE2b digests.
 
+A filter past 85 % of its slots is built anew for twice its keys, out of the exact counts.
+
 `build` counts a corpus, `insert` adds documents and `delete` takes documents out again: each brings the reference
 counts and the filters up to date, so the decisions after a deletion are those that a corpus without these documents
 would have given. `apply` drops lines: a probe of the shard's filter settles most lines (a cuckoo filter has no false
@@ -107,6 +109,10 @@ class CuckooFilter:
             found |= (tag == t) & ((a == bucket) | (b == bucket))
         return found
 
+    def is_full(self) -> bool:
+        """Whether the filter should be built anew for more keys: past 85 % of its slots, or with keys that found none."""
+        return bool(self.overflow) or int((self.table != 0).sum()) > 0.85 * self.table.size
+
     def dump(self) -> bytes:
         return b"%d %d\n" % (len(self.table), len(self.overflow)) + self.table.tobytes() + np.array(self.overflow, np.int64).tobytes()
 
@@ -147,15 +153,15 @@ def shard_of(key: str, shards: int):
     return F.pmod(F.crc32(key), F.lit(shards)).cast("int").alias("shard")
 
 
-def build_filters(shared: DataFrame, shards: int) -> DataFrame:
+def build_filters(shared: DataFrame, shards: int, room: int = 1) -> DataFrame:
     """The cuckoo filter of each shard. A shard's keys come in one run, sorted, and are held packed, 16 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, bytearray()
 
         def done() -> pa.RecordBatch:
-            keys = pair(held)
-            f = CuckooFilter(len(keys))
+            keys = np.frombuffer(bytes(held), "<u8").reshape(-1, 2)
+            f = CuckooFilter(room * len(keys))
             f.add(keys)
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([f.dump()], pa.binary())], ["shard", "filter"])
 
@@ -164,8 +170,8 @@ def build_filters(shared: DataFrame, shards: int) -> DataFrame:
                 if shard != now:
                     if now is not None:
                         yield done()
-                    now, held = shard, []
-                held.append(key)
+                    now, held = shard, bytearray()
+                held += key
         if now is not None:
             yield done()
 
@@ -242,8 +248,12 @@ class LineStore:
 
             def done() -> pa.RecordBatch:
                 final = known or CuckooFilter(max(len(grow), 64))
-                final.add(pair(grow)) if grow else None
-                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([final.dump()], pa.binary())], ["shard", "filter"])
+                # More new keys than a filter has free slots would only be pushed around: it is built anew instead.
+                if len(grow) <= 0.85 * final.table.size - int((final.table != 0).sum()):
+                    final.add(pair(grow)) if grow else None
+                else:
+                    final.overflow.append((0, 0))
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([final.dump()], pa.binary()), pa.array([final.is_full()])], ["shard", "filter", "full"])
 
             for batch in batches:
                 for shard, blob, key, add in zip(*(batch.column(c).to_pylist() for c in ("shard", "filter", "key", "add"))):
@@ -261,8 +271,14 @@ class LineStore:
                 yield done()
 
         both = old.unionByName(rows).repartition("shard").sortWithinPartitions("shard", F.col("key").isNotNull())
-        filters = materialize(both.mapInArrow(released(run), "shard int, filter binary"), "filters", f"{path}/filters")
-        return LineStore(self.spark, path, refs, self.shards, filters)
+        filters = materialize(both.mapInArrow(released(run), "shard int, filter binary, full boolean"), "filters", f"{path}/changed")
+        full = filters.where("full").select("shard")
+        if full.isEmpty():
+            return LineStore(self.spark, path, refs, self.shards, filters.drop("full"))
+        # Full filters grow: they are built anew out of the exact counts, for twice the keys they hold.
+        shared = counts(refs).where("n_docs >= 2").select(shard_of("key", self.shards), "key").join(full, "shard", "left_semi").select("key")
+        grown = materialize(build_filters(shared, self.shards, 2), "filters", f"{path}/grown")
+        return LineStore(self.spark, path, refs, self.shards, filters.where("not full").drop("full").unionByName(grown))
 
     def drops(self, refs: DataFrame | None = None) -> DataFrame:
         """(doc_id, keys): by document the digests of the lines it loses."""

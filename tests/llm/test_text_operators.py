@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from arcflow.llm import bpe, decontaminate, language_id, line_dedup, quality, simhash
@@ -301,3 +302,66 @@ def test_gram_hashes_do_not_depend_on_neighbours():
     alone = [language_id.gram_hashes([t]) for t in texts]
     assert sizes.tolist() == [int(n[0]) for _, n in alone]
     assert joint.tolist() == [x for g, _ in alone for x in g.tolist()]
+
+
+# -- what grows ----------------------------------------------------------------------------------
+def test_every_code_point_is_encoded_like_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(word_bpe())
+    library.no_truncation()
+    library.no_padding()
+    model = bpe.load(word_bpe())
+    known, unknown = bpe.newer_letters()
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000] + list(known[::7]) + list(unknown[::7])
+    for at in range(0, len(points), 4096):
+        text = " ".join(f"a{c}b {c}" for c in points[at : at + 4096])
+        assert model.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(points[at]))
+
+
+def test_filters_grow(spark):
+    """Thirty times the keys that the filters were built for: nothing overflows, and the decisions are those of a new store."""
+    line = lambda k: f"a line of text with number {k:05d}"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    small = [(1, "\n".join(line(k) for k in range(50))), (2, "\n".join(line(k) for k in range(50)))]
+    more = [(3, "\n".join(line(k) for k in range(50, 1600))), (4, "\n".join(line(k) for k in range(50, 1600)))]
+    store = line_dedup.LineStore.build(make(small), shards=2).insert(make(more))
+    for r in store.filters.collect():
+        f = line_dedup.CuckooFilter.load(bytes(r["filter"]))
+        assert not f.overflow and (f.table != 0).sum() > 600
+    want = line_dedup.LineStore.build(make(small + more), shards=2).apply(make(small + more))
+    assert sorted(map(str, store.apply(make(small + more)).collect())) == sorted(map(str, want.collect()))
+
+
+def test_benchmark_in_many_blocks(spark, monkeypatch):
+    """One block after another finds what one block of all finds, and cuts the same texts."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(3, 30)))) for i in range(40)]
+    texts = [" ".join(rng.choice(words, 60)) + " " + items[i % 40][1] + " tail " + items[(i * 7) % 40][1] for i in range(50)] + ["", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    run = lambda: sorted(map(str, decontaminate.decontaminate(d, b, keep=("doc_id",), cut=True).collect()))
+    want = run()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    assert decontaminate.benchmark_items(b)[1] > 5
+    assert run() == want
+
+
+def test_kept_columns_that_clash(spark, docs):
+    """A kept column with the name of a result's comes back as input_<name>."""
+    clash = docs.withColumnsRenamed({"kept": "fingerprint"}).withColumn("kept", F.lit("mine")).withColumn("ids", F.lit(1)).withColumn("items", F.lit(2))
+    keep = ("doc_id", "text", "kept", "n_words", "fingerprint", "ids", "items")
+    judged = quality.judge(clash, quality.references(clash), keep)
+    assert judged.columns[:4] == ["doc_id", "text", "input_kept", "input_n_words"] and {r["input_kept"] for r in judged.collect()} == {"mine"}
+    assert "input_fingerprint" in simhash.cluster(clash, keep).columns
+    assert "input_ids" in bpe.encode_decode(clash, word_bpe(), keep=keep, ids=True).columns
+    found = decontaminate.decontaminate(clash, spark.createDataFrame([(1, "quick brown fox jumps")], "item_id bigint, text string"), keep)
+    assert {r["input_items"] for r in found.collect()} == {2}
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_LANGUAGES", 1)
+    df = spark.createDataFrame([(i, "some words of a text that is long enough to count as one here", x) for i, x in enumerate("ab")], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError):
+        quality.references(df)
