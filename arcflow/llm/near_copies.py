@@ -220,7 +220,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, near: tuple[int, int
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a bigint, b bigint")
 
 
-def sizes_allow(a: str, b: str, near: tuple[int, int]) -> Column:
+def sizes_allow(a: str, b: str, near: tuple[int, int], one_way: bool = False) -> Column:
+    """Whether sets of these sizes can be near; one_way asks only that a is large enough for b."""
+    if one_way:
+        return F.col(a) * near[1] >= F.col(b) * near[0]
     return (F.col(a) * near[1] >= F.col(b) * near[0]) & (F.col(b) * near[1] >= F.col(a) * near[0])
 
 
@@ -248,9 +251,12 @@ def star_pairs(now: DataFrame, degree: DataFrame, turn: int, near: tuple[int, in
 def cross_pairs(now: DataFrame, parts: DataFrame, near: tuple[int, int]) -> DataFrame:
     """All pairs of a key that lie in different components and can be near by their sizes and places.
 
-    Components of a key are paired first, so the nodes of one component never meet."""
-    left, right = parts.select("key", F.col("root").alias("x_root")), parts.select("key", F.col("root").alias("y_root"))
-    met = left.join(right, "key").where("x_root < y_root")
+    Components of a key are paired first, by the bounds of their sizes and rests, so the nodes of one component never meet,
+    nor those of two that are too different."""
+    left, right = (parts.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("root", "low", "high", "rest"))) for s in ("x", "y"))
+    may = sizes_allow("x_high", "y_low", near, True) & sizes_allow("y_high", "x_low", near, True)
+    may &= F.least("x_rest", "y_rest") * sum(near) >= (F.col("x_low") + F.col("y_low")) * near[0]
+    met = left.join(right, "key").where((F.col("x_root") < F.col("y_root")) & may).select("key", "x_root", "y_root")
     for s in ("x", "y"):
         met = met.join(now.select("key", F.col("root").alias(f"{s}_root"), F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("place").alias(f"{s}_place")), ["key", f"{s}_root"])
     # From the first shingle that both have on, the rest must hold near / (1 + near) of both sizes.
@@ -276,7 +282,7 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     while True:
         roots = materialize(components(edges), "roots")
         now = rows.join(roots, F.col("id") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
-        parts = now.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
+        parts = now.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.col("size") - F.col("place")).alias("rest"))
         all_of = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         total = all_of.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)).alias("pairs")).first()
         # Once the stars no longer halve the pairs, all that are left are listed.
