@@ -338,6 +338,13 @@ def labelled_pages(n: int = COMPOSED_PAGES, seed: int = 5) -> list[tuple[Page, l
     def prose() -> str:
         return " ".join(sentence(rng.randint(4, 14)) for _ in range(rng.randint(1, 5)))
 
+    def maybe_linked(chance: float, longest: int = 12) -> tuple[str, int]:
+        """A text and how many of its characters are linked: none, or all of them with a chance."""
+        text = sentence(rng.randint(1, longest))
+        if rng.random() < 0.5:
+            text = text[:-1]
+        return text, len(text) if rng.random() < chance else 0
+
     for _ in range(n):
         page, labels = Page(), [0]
 
@@ -407,9 +414,11 @@ def labelled_pages(n: int = COMPOSED_PAGES, seed: int = 5) -> list[tuple[Page, l
             elif r < 0.84:
                 add(add(inner, rng.choice(["h2", "h3"]), 1), "#text", 1, (), " ".join(word() for _ in range(3)))
             elif r < 0.9:
-                own = add(inner, rng.choice(["ul", "ol"]), 1)
+                own, linked = add(inner, rng.choice(["ul", "ol"]), 1), rng.choice([0, 0.5, 1])
                 for _ in range(rng.randint(2, 5)):
-                    add(add(own, "li", 1), "#text", 1, (), sentence(rng.randint(3, 12)))
+                    item = add(own, "li", 1)
+                    holder = add(item, "p", 1) if rng.random() < 0.2 else item
+                    add(holder, "#text", 1, (), *maybe_linked(linked))
             elif r < 0.94:
                 add(add(add(inner, "blockquote", 1), "p", 1), "#text", 1, (), prose())
             elif r < 0.97:
@@ -417,9 +426,18 @@ def labelled_pages(n: int = COMPOSED_PAGES, seed: int = 5) -> list[tuple[Page, l
                 for _ in range(rng.randint(1, 3)):
                     line = add(own, "tr", 1)
                     for _ in range(2):
-                        add(add(line, "td", 1), "#text", 1, (), " ".join(word() for _ in range(2)))
+                        add(add(line, "td", 1), "#text", 1, (), *maybe_linked(rng.choice([0, 0, 1]), 2))
+            elif r < 0.98:
+                own = add(inner, "dl", 1)
+                for _ in range(rng.randint(1, 3)):
+                    add(add(own, "dt", 1), "#text", 1, (), *maybe_linked(rng.choice([0, 1]), 2))
+                    add(add(own, "dd", 1), "#text", 1, (), sentence(8))
+            elif r < 0.99 and main != shell:
+                own = add(inner, rng.choice(["section", "article", "div"]), 1)
+                add(add(own, "h2", 1), "#text", 1, (), *maybe_linked(0.5, 4))
+                add(add(own, "p", 1), "#text", 1, (), prose())
             else:
-                add(add(add(inner, "figure", 1), "figcaption", 1), "#text", 1, (), sentence(6))
+                add(add(add(inner, "figure", 1), "figcaption", 1), "#text", 1, (), *maybe_linked(0.3, 6))
             if main != shell and rng.random() < 0.06:
                 around(inner, rng.choice(["ad", "aside", "share", "form", "notice"]))
         if main != shell and rng.random() < 0.15:
