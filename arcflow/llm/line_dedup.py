@@ -12,7 +12,8 @@ A filter past 85 % of its slots is built anew for twice its keys, out of the exa
 
 `build` counts a corpus, `insert` adds documents and `delete` takes documents out again: each brings the reference
 counts and the filters up to date, so the decisions after a deletion are those that a corpus without these documents
-would have given. `apply` drops lines: a probe of the shard's filter settles most lines (a cuckoo filter has no false
+would have given. An update writes what it changes and counts the keys it touches; the reference table is scanned, and
+written anew only every `LAYERS` updates. `apply` drops lines: a probe of the shard's filter settles most lines (a cuckoo filter has no false
 negatives), and the exact counts settle the rest. All lines of a shared key go except those of the document with the
 smallest doc_id.
 
@@ -40,6 +41,8 @@ MIN_CHARS = 10
 REPLICAS = 16
 SLOTS = 4
 MAX_KICKS = 500
+#: Updates that a store is read through before its tables are written anew.
+LAYERS = 8
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -149,6 +152,11 @@ def counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
+def shared_keys(refs: DataFrame) -> DataFrame:
+    """The counts of the keys of two documents or more."""
+    return counts(refs).where("n_docs >= 2")
+
+
 def shard_of(key: str, shards: int):
     return F.pmod(F.crc32(key), F.lit(shards)).cast("int").alias("shard")
 
@@ -206,12 +214,13 @@ def probe(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 # -- the store -----------------------------------------------------------------------------------
 class LineStore:
-    """Reference table and filters of a corpus. `version` folders are written once and never changed."""
+    """Reference table and filters of a corpus. Folders are written once and never changed; a store reads those of the
+    stores it came from too, so discard these only after it."""
 
-    def __init__(self, spark: SparkSession, path: str, refs: DataFrame, shards: int, filters: DataFrame | None = None):
-        self.spark, self.path, self.refs, self.shards = spark, path, refs, shards
+    def __init__(self, spark: SparkSession, path: str, refs: DataFrame, shards: int, filters: DataFrame | None = None, shared: DataFrame | None = None, layers: int = 0):
+        self.spark, self.path, self.refs, self.shards, self.layers = spark, path, refs, shards, layers
         # A table of its own: a join on it can split a hot key, which it cannot above the aggregation.
-        self.shared = materialize(counts(refs).where("n_docs >= 2"), "shared", f"{path}/shared")
+        self.shared = shared if shared is not None else materialize(shared_keys(refs), "shared", f"{path}/shared")
         self.filters = filters if filters is not None else materialize(build_filters(self.shared, shards), "filters", f"{path}/filters")
 
     @classmethod
@@ -224,22 +233,31 @@ class LineStore:
 
     def insert(self, docs: DataFrame, text: str = "text") -> LineStore:
         """The store with these documents too: a document that is there already gains the lines it lacks."""
-        new = line_refs(docs, text).dropDuplicates(["key", "doc_id"])
-        return self._next(self.refs.unionByName(new).dropDuplicates(["key", "doc_id"]), new)
+        path, ref = new_path(self.spark, "lines"), ["key", "doc_id"]
+        new = materialize(line_refs(docs, text).dropDuplicates(ref), "new", f"{path}/new")
+        there = self.refs.join(new, ref, "left_semi")
+        added = materialize(new.join(there, ref, "left_anti"), "added", f"{path}/added")
+        return self._next(path, self.refs.unionByName(added), added)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """The store without the documents whose doc_id is listed."""
-        ids = doc_ids.select(F.col("doc_id").cast("long")).dropDuplicates()
-        return self._next(self.refs.join(ids, "doc_id", "left_anti"), self.refs.join(ids, "doc_id", "left_semi"))
-
-    def _next(self, refs: DataFrame, touched: DataFrame) -> LineStore:
-        """Only keys that became shared, or stopped being so, are added to or removed from the filters."""
         path = new_path(self.spark, "lines")
-        refs = materialize(refs, "refs", f"{path}/refs")
-        keys = touched.select("key").dropDuplicates()
-        before, after = (counts(r.join(keys, "key", "left_semi")).select("key", "n_docs") for r in (self.refs, refs))
-        change = keys.join(before.withColumnRenamed("n_docs", "was"), "key", "left").join(after.withColumnRenamed("n_docs", "now"), "key", "left")
-        change = change.select("key", (F.coalesce("was", F.lit(0)) >= 2).alias("was"), (F.coalesce("now", F.lit(0)) >= 2).alias("now")).where("was <> now")
+        ids = materialize(doc_ids.select(F.col("doc_id").cast("long")).dropDuplicates(), "ids", f"{path}/ids")
+        return self._next(path, self.refs.join(ids, "doc_id", "left_anti"), self.refs.join(ids, "doc_id", "left_semi"))
+
+    def _next(self, path: str, refs: DataFrame, touched: DataFrame) -> LineStore:
+        """Only keys that the update touches are counted again, and only those that became shared, or stopped being so,
+        are added to or removed from the filters. Tables are read through the updates; after LAYERS of them they are
+        written anew."""
+        keys = materialize(touched.select("key").dropDuplicates(), "keys", f"{path}/keys")
+        now = materialize(shared_keys(refs.join(keys, "key", "left_semi")), "now", f"{path}/now")
+        shared = self.shared.join(keys, "key", "left_anti").unionByName(now)
+        was = self.shared.select("key").join(keys, "key", "left_semi").withColumn("was", F.lit(True))
+        change = was.join(now.select("key", F.lit(True).alias("now")), "key", "full")
+        change = change.select("key", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("now", F.lit(False)).alias("now")).where("was <> now")
+        layers = self.layers + 1
+        if layers > LAYERS:
+            refs, shared, layers = materialize(refs, "refs", f"{path}/refs"), materialize(shared, "shared", f"{path}/shared"), 0
         rows = change.select(shard_of("key", self.shards), F.lit(None).cast("binary").alias("filter"), "key", F.col("now").alias("add"))
         old = self.filters.select("shard", "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("boolean").alias("add"))
 
@@ -274,11 +292,11 @@ class LineStore:
         filters = materialize(both.mapInArrow(released(run), "shard int, filter binary, full boolean"), "filters", f"{path}/changed")
         full = filters.where("full").select("shard")
         if full.isEmpty():
-            return LineStore(self.spark, path, refs, self.shards, filters.drop("full"))
+            return LineStore(self.spark, path, refs, self.shards, filters.drop("full"), shared, layers)
         # Full filters grow: they are built anew out of the exact counts, for twice the keys they hold.
-        shared = counts(refs).where("n_docs >= 2").select(shard_of("key", self.shards), "key").join(full, "shard", "left_semi").select("key")
-        grown = materialize(build_filters(shared, self.shards, 2), "filters", f"{path}/grown")
-        return LineStore(self.spark, path, refs, self.shards, filters.where("not full").drop("full").unionByName(grown))
+        crowded = shared.select(shard_of("key", self.shards), "key").join(full, "shard", "left_semi").select("key")
+        grown = materialize(build_filters(crowded, self.shards, 2), "filters", f"{path}/grown")
+        return LineStore(self.spark, path, refs, self.shards, filters.where("not full").drop("full").unionByName(grown), shared, layers)
 
     def drops(self, refs: DataFrame | None = None) -> DataFrame:
         """(doc_id, keys): by document the digests of the lines it loses."""

@@ -136,6 +136,25 @@ def test_line_dedup_is_reversible(spark):
     assert show(gone, left) == brute_lines(left)
 
 
+def test_line_store_through_updates(spark, monkeypatch):
+    """Updates read through each other, and past the written-anew tables, decide as a store of the documents that are left."""
+    monkeypatch.setattr(line_dedup, "LAYERS", 1)
+    line = "a line of shared text, number {}".format
+    make = lambda rows: spark.createDataFrame([(i, "\n".join(map(line, lines))) for i, lines in rows.items()], "doc_id bigint, text string")
+    have = {1: [1, 2, 3], 2: [2, 4], 3: [5]}
+    store = line_dedup.LineStore.build(make(have), shards=2)
+    # The last insertion repeats what document 7 holds.
+    for more, gone in (({4: [3, 5, 6], 5: [1, 6]}, [1]), ({6: [4, 4, 7]}, [4, 9]), ({7: [1, 5], 1: [2]}, []), ({7: [1, 5]}, [2])):
+        have |= more
+        store = store.insert(make(more))
+        if gone:
+            have = {i: x for i, x in have.items() if i not in gone}
+            store = store.delete(spark.createDataFrame([(i,) for i in gone], "doc_id bigint"))
+        fresh = line_dedup.LineStore.build(make(have), shards=2)
+        assert sorted(map(tuple, store.shared.collect())) == sorted(map(tuple, fresh.shared.collect()))
+        assert sorted(store.apply(make(have)).collect()) == sorted(fresh.apply(make(have)).collect())
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, (20_000, 2)).astype(np.uint64)
