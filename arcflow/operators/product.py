@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, InvalidOperation
-from ..plans.model import ARC, EPSILON, STATE, Fst, number_rows, renumber
-from ..plans.small import KINDS, LOCAL_PAIRS, LOCAL_ROWS, compose_rows, machines
-from ..plans.storage import Rounds, store
+from ..plans import small
+from ..plans.model import ARC, EPSILON, STATE, Fst, number_rows, numbered, renumber
+from ..plans.scalar import SCALARS
+from ..plans.small import KINDS, LOCAL_PAIRS, LOCAL_ROWS, by_machine, compose_rows, divide, machines
+from ..plans.storage import Rounds, fresh_path, remove, store
 from .distance import connect, distance_to_final, push_weights, total_at_finals
 
 MAX_STATES = 50_000_000
@@ -157,44 +159,84 @@ def intersect(a: Fst, b: Fst, **options) -> Fst:
 
 # -- determinization -----------------------------------------------------------------------------
 def determinize(fst: Fst, max_states: int = MAX_STATES, max_depth: int | None = None) -> Fst:
-    """The deterministic machine over input labels (outputs become inputs). States are sorted arrays of (state, residual).
+    """The deterministic machine over input labels (outputs become inputs). States are numbers from 0 within each machine.
 
     Weighted subset construction: the weight of an arc is the sum of what its label offers, the residuals are what is
     left. Semirings without division need weights of one, like the boolean. It ends for machines with the twins
-    property; max_states, and max_depth (labels from the start) if given, guard the others. Epsilon is a label like others: remove epsilons before."""
+    property; max_states, and max_depth (labels from the start) if given, guard the others. Epsilon is a label like others: remove epsilons before.
+
+    Small machines are walked each in a task; large ones, and those of many large subsets, round by round over the cluster."""
     s = fst.semiring
     if fst.starts.isEmpty():
         raise AlgorithmError("no start state")
+    fst = fst.with_(arcs=store(fst.arcs.select(*ARC), "edges"), states=store(fst.states.select(*STATE), "states"))
+    kind, large = divide(fst.arcs, fst.states, most=small.LOCAL_SUBSETS)
+    if kind is None or s.name not in SCALARS:
+        return renumber(_determinize(fst, max_states, max_depth)).stored("subsets")
+    end = lambda df, name, src, dst, w, i=F.lit(None): df.select(F.col("fst_id").cast("bigint").alias("fst_id"), F.lit(name).alias("kind"), src.cast(kind).alias("src"), F.col(dst).alias("dst"), i.cast("bigint").alias("ilabel"), s.cast(w).alias("w"))
+    rows = end(fst.arcs, "arc", F.col("src"), "dst", F.col("weight"), F.col("ilabel")).unionByName(end(fst.starts, "start", F.lit(None), "state", s.one)).unionByName(end(fst.finals, "final", F.lit(None), "state", F.col("final_weight")))
+    if large is not None:
+        rows = rows.join(large, "fst_id", "left_anti")
+    found = by_machine(rows, small.subsets(SCALARS[s.name], max_states, max_depth), f"kind string, src bigint, ilabel bigint, dst bigint, w {s.type}", "subsets")
+    arcs = found.where("kind = 'arc'").select("fst_id", "src", F.col("ilabel").alias("pos"), "ilabel", F.col("ilabel").alias("olabel"), F.col("w").alias("weight"), "dst")
+    states = found.where("kind in ('start', 'state')").select("fst_id", F.col("src").alias("state"), (F.col("kind") == "start").alias("is_start"), F.col("w").alias("final_weight"))
+    if states.where("not is_start").count() > max_states:
+        raise AlgorithmError(f"more than {max_states} states")
+    rest = found.where("kind = 'large'").select("fst_id")
+    rest = store(rest if large is None else rest.unionByName(large.select(F.col("fst_id").cast("bigint").alias("fst_id"))), "large")
+    if not rest.isEmpty():
+        big = renumber(_determinize(fst.with_(arcs=fst.arcs.join(rest, "fst_id", "left_semi"), states=fst.states.join(rest, "fst_id", "left_semi")), max_states, max_depth)).stored("subsets")
+        arcs, states = arcs.unionByName(big.arcs.select(*ARC)), states.unionByName(big.states.select(*STATE))
+    return Fst(arcs.select(*ARC), states, s)
+
+
+def _determinize(fst: Fst, max_states: int, max_depth: int | None) -> Fst:
+    """determinize by rounds. No row holds a subset: its members (state q, residual r) are rows, and its name is a digest of
+    256 bits that is put together by partial aggregates from the digests of the members, in any order."""
+    s = fst.semiring
     plain = s.divide is None
-    member = lambda st, r: F.struct(st.alias("q"), r.alias("r"))
     rest = (lambda w, least: w) if plain else (lambda w, least: s.cast(s.divide(w, least)))
+    # A residual of -0.0 is one of 0.0.
+    even = (lambda w: s.cast(w + F.lit(0.0))) if s.type in ("float", "double") else (lambda w: w)
+
+    def named(members: DataFrame, *keys: str, **others: Column) -> DataFrame:
+        one = members.withColumn("__h", F.sha2(F.to_json(F.struct("q", "r"), {"ignoreNullFields": "false"}), 256))
+        parts = [F.bit_xor(F.xxhash64(F.lit(i), "__h")).cast("string") for i in range(4)]
+        return one.groupBy(*keys).agg(F.sha2(F.concat_ws("/", F.count("*").cast("string"), *parts), 256).alias("state"), *(c.alias(k) for k, c in others.items()))
+
     arcs = store(fst.arcs.select("fst_id", F.col("src").alias("q"), "ilabel", F.col("weight").alias("w"), "dst"), "edges")
-    start = store(fst.starts.groupBy("fst_id").agg(F.sort_array(F.collect_list(member(F.col("state"), s.cast(s.one)))).alias("state")), "starts")
-    seen, made = Rounds(fst.spark, "subsets"), Rounds(fst.spark, "subset-arcs")
-    front = seen.add(start)
+    first = store(fst.starts.select("fst_id", F.col("state").alias("q"), s.cast(s.one).alias("r")), "starts")
+    seen, made, held = Rounds(fst.spark, "subsets"), Rounds(fst.spark, "subset-arcs"), Rounds(fst.spark, "members")
+    start = seen.add(named(first, "fst_id").select("fst_id", "state"))
+    front = held.add(first.join(start, "fst_id").select("fst_id", F.col("state").alias("src"), "q", "r"))
     total = 0
     for turn in count():
         if max_depth is not None and turn > max_depth:
             raise AlgorithmError(f"determinization did not end within {max_depth} labels")
-        parts = front.select("fst_id", F.col("state").alias("src"), F.explode("state").alias("m")).select("fst_id", "src", F.col("m.q").alias("q"), F.col("m.r").alias("r"))
-        to = parts.join(arcs, ["fst_id", "q"]).groupBy("fst_id", "src", "ilabel", "dst").agg(s.plus_agg(s.times(F.col("r"), F.col("w"))).alias("w")).withColumn("w", s.cast(F.col("w"))).where(~s.is_zero(F.col("w")))
+        path = fresh_path(fst.spark, "moves")
+        to = front.join(arcs, ["fst_id", "q"]).groupBy("fst_id", "src", "ilabel", "dst").agg(s.plus_agg(s.times(F.col("r"), F.col("w"))).alias("w")).withColumn("w", s.cast(F.col("w"))).where(~s.is_zero(F.col("w")))
+        to = store(to, path=path)
         if plain:
-            moves = to.groupBy("fst_id", "src", "ilabel").agg(s.plus_agg(F.col("w")).alias("weight"), F.collect_list(member(F.col("dst"), F.col("w"))).alias("list"))
+            members = to.withColumn("weight", s.cast(s.one))
         else:
-            moves = to.groupBy("fst_id", "src", "ilabel").agg(s.plus_agg(F.col("w")).alias("weight"), F.collect_list(F.struct(F.col("dst").alias("q"), F.col("w").alias("r"))).alias("list"))
-        one = s.cast(s.one) if plain else s.cast(F.col("weight"))
-        sub = F.sort_array(F.transform("list", lambda m: F.struct(m["q"].alias("q"), rest(m["r"], F.col("weight")).alias("r"))))
-        arcs_out = made.add(moves.select("fst_id", "src", F.col("ilabel").alias("pos"), "ilabel", F.col("ilabel").alias("olabel"), one.alias("weight"), sub.alias("dst")))
-        front = seen.add(arcs_out.select("fst_id", F.col("dst").alias("state")).distinct().join(seen.rows(), ["fst_id", "state"], "left_anti"))
-        n = seen.last
-        total += n
-        if not n:
+            sums = to.groupBy("fst_id", "src", "ilabel").agg(s.cast(s.plus_agg(F.col("w"))).alias("weight")).select(F.col("fst_id").alias("f"), F.col("src").alias("a"), F.col("ilabel").alias("i"), "weight")
+            members = to.join(sums, F.expr("fst_id <=> f and src = a and ilabel <=> i")).drop("f", "a", "i")
+        members = members.select("fst_id", "src", "ilabel", F.col("dst").alias("q"), even(rest(F.col("w"), F.col("weight"))).alias("r"), "weight")
+        arcs_out = made.add(named(members, "fst_id", "src", "ilabel", weight=F.first("weight")).select("fst_id", "src", F.col("ilabel").alias("pos"), "ilabel", F.col("ilabel").alias("olabel"), "weight", F.col("state").alias("dst")))
+        # Of the arcs into a new subset, the first brings its members.
+        new = arcs_out.groupBy("fst_id", F.col("dst").alias("state")).agg(F.min(F.struct("src", "ilabel")).alias("by")).join(seen.rows().select("fst_id", "state"), ["fst_id", "state"], "left_anti")
+        new = store(new, "new")
+        seen.add(new.select("fst_id", "state"))
+        total += seen.last
+        if not seen.last:
             break
         if total > max_states:
             raise AlgorithmError(f"more than {max_states} states")
+        by = new.select(F.col("fst_id").alias("f"), F.col("by.src").alias("a"), F.col("by.ilabel").alias("i"), "state")
+        front = held.add(members.join(by, F.expr("fst_id <=> f and src = a and ilabel <=> i")).select("fst_id", F.col("state").alias("src"), "q", "r"))
+        remove(fst.spark, path)
     every = seen.rows()
-    m = every.select("fst_id", "state", F.explode("state").alias("m")).select("fst_id", "state", F.col("m.q").alias("q"), F.col("m.r").alias("r"))
-    fin = m.join(fst.finals.withColumnRenamed("state", "q"), ["fst_id", "q"]).groupBy("fst_id", "state").agg(s.plus_agg(s.times(F.col("r"), F.col("final_weight"))).alias("final_weight"))
+    fin = held.rows().withColumnRenamed("src", "state").join(fst.finals.withColumnRenamed("state", "q"), ["fst_id", "q"]).groupBy("fst_id", "state").agg(s.plus_agg(s.times(F.col("r"), F.col("final_weight"))).alias("final_weight"))
     st = every.join(start.withColumn("first", F.lit(True)), ["fst_id", "state"], "left").join(fin, ["fst_id", "state"], "left")
     states = st.select("fst_id", "state", F.coalesce("first", F.lit(False)).alias("is_start"), s.cast(F.col("final_weight")).alias("final_weight"))
     return Fst(made.rows().select(*ARC), store(states, "states"), s)

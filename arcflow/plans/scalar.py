@@ -22,6 +22,8 @@ class Scalar:
     idempotent: bool = True
     #: A key whose ascending order is best first; None without a natural order.
     order: Callable | None = None
+    #: What is left of a weight behind another (null where it has no answer); None without division.
+    divide: Callable | None = None
     #: Whether a residual that changed a sum from old (None: there was none) to new goes on.
     moves: Callable = lambda old, new, residual, delta: old is None or new != old
 
@@ -36,12 +38,12 @@ def _log_plus(a: float, b: float) -> float:
 
 
 def _sum() -> Scalar:
-    return Scalar(0.0, 1.0, lambda a, b: a + b, lambda a, b: a * b, False, moves=lambda old, new, residual, delta: abs(residual) > delta)
+    return Scalar(0.0, 1.0, lambda a, b: a + b, lambda a, b: a * b, False, divide=lambda a, b: a / b if b else None, moves=lambda old, new, residual, delta: abs(residual) > delta)
 
 
 SCALARS = {
-    "tropical": Scalar(INF, 0.0, min, lambda a, b: _single(a + b), order=lambda a: a),
-    "log": Scalar(INF, 0.0, _log_plus, lambda a, b: a + b, False, moves=lambda old, new, residual, delta: old is None or abs(new - old) > delta),
+    "tropical": Scalar(INF, 0.0, min, lambda a, b: _single(a + b), order=lambda a: a, divide=lambda a, b: INF if a == INF else _single(a - b)),
+    "log": Scalar(INF, 0.0, _log_plus, lambda a, b: a + b, False, divide=lambda a, b: INF if a == INF else a - b, moves=lambda old, new, residual, delta: old is None or abs(new - old) > delta),
     "probability": _sum(),
     "real": _sum(),
     "integer": Scalar(0, 1, lambda a, b: a + b, lambda a, b: a * b, False, moves=lambda old, new, residual, delta: residual != 0),
