@@ -325,7 +325,34 @@ def complete(fst: Fst, alphabet: DataFrame) -> Fst:
 
 def beside(a: Fst, det: Fst) -> Fst:
     """The product of an acceptor with the complement of a deterministic one (states are numbers), weights of a: where det
-    has no arc, it goes to a sink -1 that is never written out. States are structs (s1, s2)."""
+    has no arc, it goes to a sink -1 that is never written out. States are structs (s1, s2).
+
+    Small machines are walked each in a task, large ones round by round over the cluster."""
+    kind, large = divide(a.arcs.select("fst_id").unionByName(det.arcs.select("fst_id")), a.states)
+    if kind is None or a.semiring.type not in KINDS:
+        return _beside(a, det)
+    arcs, start = F.lit("arc").alias("kind"), F.lit("start").alias("kind")
+    i = F.col("fst_id").cast("bigint").alias("fst_id")
+    rows = a.arcs.select(i, F.lit(0).alias("side"), arcs, F.col("src").alias("a"), F.col("dst").alias("b"), "ilabel", "pos", "olabel", F.col("weight").alias("w"))
+    parts = [a.starts.select(i, F.lit(0).alias("side"), start, F.col("state").alias("b")), det.arcs.select(i, F.lit(1).alias("side"), arcs, F.col("src").alias("c"), F.col("dst").alias("d"), "ilabel"), det.starts.select(i, F.lit(1).alias("side"), start, F.col("state").alias("d"))]
+    for x in parts:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    if large is not None:
+        rows = rows.join(large, "fst_id", "left_anti")
+    found = by_machine(rows, small.beside_rows, f"kind string, s1 {kind}, s2 bigint, d1 {kind}, d2 bigint, pos bigint, ilabel bigint, olabel bigint, w {a.semiring.type}", "beside")
+    pair = lambda x, y: F.struct(F.col(x).alias("s1"), F.col(y).alias("s2"))
+    made = found.where("kind = 'arc'").select("fst_id", pair("s1", "s2").alias("src"), "pos", "ilabel", "olabel", F.col("w").alias("weight"), pair("d1", "d2").alias("dst"))
+    f1, f2 = a.finals.withColumnRenamed("state", "s1"), det.finals.select("fst_id", F.col("state").alias("s2"), F.lit(True).alias("out"))
+    st = found.where("kind <> 'arc'").join(f1, ["fst_id", "s1"], "left").join(f2, ["fst_id", "s2"], "left")
+    states = store(st.select("fst_id", pair("s1", "s2").alias("state"), (F.col("kind") == "start").alias("is_start"), F.when(F.col("out").isNull(), F.col("final_weight")).alias("final_weight")), "states")
+    few = Fst(made.select(*ARC), states, a.semiring)
+    if large is None:
+        return few
+    big = _beside(*(m.with_(arcs=m.arcs.join(large, "fst_id", "left_semi"), states=m.states.join(large, "fst_id", "left_semi")) for m in (a, det)))
+    return few.with_(arcs=few.arcs.unionByName(big.arcs), states=few.states.unionByName(big.states))
+
+
+def _beside(a: Fst, det: Fst) -> Fst:
     spark = a.spark
     pair = lambda x, y: F.struct(x.alias("s1"), y.alias("s2"))
     left = store(a.arcs.select("fst_id", F.col("src").alias("s1"), "pos", "ilabel", "olabel", "weight", F.col("dst").alias("d1")), "left")
@@ -346,7 +373,8 @@ def beside(a: Fst, det: Fst) -> Fst:
 
 
 def difference(a: Fst, b: Fst) -> Fst:
-    """What a accepts and b does not, with the weights of a. Both must be acceptors, with a label between them."""
+    """What a accepts and b does not, with the weights of a. Both must be acceptors, with a label between them.
+    States are numbers."""
     s = a.semiring
     for m in (a, b):
         if not is_acceptor(m):
@@ -360,7 +388,7 @@ def difference(a: Fst, b: Fst) -> Fst:
     support = weight_convert(b, lambda w: ~s.is_zero(w), BOOLEAN)
     det = determinize(remove_epsilons(support)) if not b.starts.isEmpty() else support
     det = det if det.states.schema["state"].dataType.simpleString() == "bigint" else renumber(det)
-    return connect_if(beside(remove_epsilons(a), det.stored("subtract")))
+    return connect_if(numbered(beside(remove_epsilons(a), det.stored("subtract"))).stored("difference"))
 
 
 def connect_if(fst: Fst) -> Fst:

@@ -371,7 +371,9 @@ def pool(m: Fst) -> Fst:
 
 
 def language(m: Fst) -> DataFrame:
-    """The accepted label strings of an acyclic acceptor."""
+    """The accepted label strings of an acyclic acceptor; none if nothing starts."""
+    if m.starts.isEmpty():
+        return m.spark.createDataFrame([], "w string")
     one = rational.weight_convert(m, lambda w: F.lit(0.0), S.TROPICAL)
     return distance.shortest_path(one, None, unique=True).select(F.array_join(F.col("ilabels").cast("array<string>"), ",").alias("w")).distinct()
 
