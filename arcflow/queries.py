@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import semiring as S
 from .operators import apps, distance, epsilon, graph, lazy, product, rational
-from .plans.model import ARC, Fst, arcs_of, build, from_edges, from_sequences, materialize
+from .plans.model import ARC, Fst, arcs_of, build, from_edges, from_sequences, materialize, numbered
 from .plans.storage import fresh_path, store
 from .sources import formats
 from .streaming.run import run_stream
@@ -374,7 +374,7 @@ def language(m: Fst) -> DataFrame:
     """The accepted label strings of an acyclic acceptor; none if nothing starts."""
     if m.starts.isEmpty():
         return m.spark.createDataFrame([], "w string")
-    one = rational.weight_convert(m, lambda w: F.lit(0.0), S.TROPICAL)
+    one = rational.weight_convert(numbered(m), lambda w: F.lit(0.0), S.TROPICAL)
     return distance.shortest_path(one, None, unique=True).select(F.array_join(F.col("ilabels").cast("array<string>"), ",").alias("w")).distinct()
 
 
