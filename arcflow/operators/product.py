@@ -247,10 +247,29 @@ def partition(fst: Fst, dense: bool = True) -> DataFrame:
     """(fst_id, state, class): bisimulation classes, from final weights refined by the multisets of (labels, weight, class).
 
     A class goes by its least state while it is refined, so no round numbers anything; dense turns that into numbers
-    from 0 within each machine."""
+    from 0 within each machine. Small machines are refined each in a task, large ones round by round over the cluster."""
+    s = fst.semiring
     arcs = store(fst.arcs.select("fst_id", "src", "ilabel", "olabel", "weight", "dst"), "edges")
+    kind, large = divide(arcs, fst.states)
+    if kind is None:
+        return _partition(arcs, fst.states, dense)
+    even = lambda c: F.col(c) + F.lit(0.0) if s.type in ("float", "double") else F.col(c)
+    text = lambda w, *c: F.to_json(F.struct(*c, even(w).alias("w")), {"ignoreNullFields": "false"}).alias("text")
+    i = F.col("fst_id").cast("bigint").alias("fst_id")
+    rows = arcs.select(i, "src", "dst", text("weight", "ilabel", "olabel")).unionByName(fst.states.select(i, F.lit(None).cast(kind).alias("src"), F.col("state").alias("dst"), text("final_weight")))
+    if large is not None:
+        rows = rows.join(large, "fst_id", "left_anti")
+    few = by_machine(rows, small.bisimilar, f"state {kind}, class {kind}, n bigint", "classes")
+    few = few.select("fst_id", "state", F.col("n").alias("class") if dense else "class")
+    if large is None:
+        return few
+    big = _partition(arcs.join(large, "fst_id", "left_semi"), fst.states.join(large, "fst_id", "left_semi"), dense)
+    return few.unionByName(big.select(i, "state", "class"))
+
+
+def _partition(arcs: DataFrame, states: DataFrame, dense: bool) -> DataFrame:
     # Joins and partial minima, no window: nearly all states of a machine share one class at first.
-    finals = store(fst.states.select("fst_id", "state", "final_weight"), "finals")
+    finals = store(states.select("fst_id", "state", "final_weight"), "finals")
     heads = finals.groupBy("fst_id", "final_weight").agg(F.min("state").alias("class")).select(F.col("fst_id").alias("f"), F.col("final_weight").alias("w"), "class")
     now = store(finals.join(heads, F.expr("fst_id <=> f and final_weight <=> w")).select("fst_id", "state", "class"), "classes")
     n = now.select("fst_id", "class").distinct().count()
