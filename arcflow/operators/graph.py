@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlgorithmError, InvalidOperation
-from ..plans.model import STATE, Fst, numbered, renumber
-from ..plans.small import by_machine, divide, hops, levels, same_shape, strong_components
+from ..plans.model import ARC, STATE, Fst, numbered, renumber
+from ..plans.small import FACTS, by_machine, divide, facts, hops, levels, same_shape, strong_components
 from ..plans.storage import Rounds, store, store_counted
 from .distance import accessible, coaccessible, restrict
 
@@ -355,7 +355,40 @@ def replace(rules: Fst, root: int, max_depth: int = 100, keep_label: bool = Fals
 
 # -- properties ----------------------------------------------------------------------------------
 def properties(fst: Fst) -> DataFrame:
-    """One row for each machine: counts and properties as booleans. All are computed, so none is null."""
+    """One row for each machine: counts and properties as booleans. All are computed, so none is null.
+
+    Small machines are read each by a task in one pass; of large ones every property is a relation of its own."""
+    s = fst.semiring
+    fst = fst.with_(arcs=store(fst.arcs.select(*ARC), "edges"), states=store(fst.states.select(*STATE), "states"))
+    kind, large = divide(fst.arcs, fst.states)
+    if kind is None:
+        j = _facts(fst)
+    else:
+        i = F.col("fst_id").cast("bigint").alias("fst_id")
+        arcs = fst.arcs.select(i, F.lit("arc").alias("kind"), "src", "dst", "pos", "ilabel", "olabel", (~s.is_one(F.col("weight"))).alias("flag"))
+        bare = fst.states.select(i, F.lit("state").alias("kind"), F.col("state").alias("dst"), F.col("is_start").alias("flag"), F.col("final_weight").isNotNull().alias("final"))
+        rows = arcs.unionByName(bare, allowMissingColumns=True)
+        if large is not None:
+            rows = rows.join(large, "fst_id", "left_anti")
+        j = by_machine(rows, facts, FACTS, "facts")
+        if large is not None:
+            big = _facts(fst.with_(arcs=fst.arcs.join(large, "fst_id", "left_semi"), states=fst.states.join(large, "fst_id", "left_semi")))
+            j = j.unionByName(big.select(i, *j.columns[1:]))
+    j = j.join(twins(fst), "fst_id", "left")
+    no, yes = F.lit(False), F.lit(True)
+    f = lambda c, d=no: F.coalesce(F.col(c), d)
+    is_acc, is_co = f("n_acc", F.lit(0)) == F.col("n_states"), f("n_co", F.lit(0)) == F.col("n_states")
+    return j.select(
+        "fst_id", "n_states", f("n_arcs", F.lit(0)).alias("n_arcs"), "n_finals", f("epsilons").alias("epsilons"), f("input_epsilons").alias("input_epsilons"), f("output_epsilons").alias("output_epsilons"),
+        f("acceptor", yes).alias("acceptor"), f("weighted").alias("weighted"), f("cyclic").alias("cyclic"), (~f("round_start")).alias("initial_acyclic"), (f("i_deterministic", yes) & ~f("input_epsilons") | ~f("twins")).alias("unambiguous"), is_acc.alias("accessible"), is_co.alias("coaccessible"), (is_acc & is_co).alias("connected"),
+        f("i_deterministic", yes).alias("input_deterministic"), f("o_deterministic", yes).alias("output_deterministic"), (f("i_deterministic", yes) & ~f("input_epsilons")).alias("functional"),
+        f("input_sorted", yes).alias("input_sorted"), f("output_sorted", yes).alias("output_sorted"), f("top_sorted", yes).alias("top_sorted"),
+        (f("single", yes) & (F.col("n_finals") == 1) & is_acc & ~f("cyclic")).alias("string"),
+    )
+
+
+def _facts(fst: Fst) -> DataFrame:
+    """The columns of small.FACTS by relations; they may be null where a machine has no arcs."""
     s = fst.semiring
     flags = fst.arcs.groupBy("fst_id").agg(
         F.count("*").alias("n_arcs"), F.bool_or(F.expr("ilabel = 0 and olabel = 0")).alias("epsilons"), F.bool_or(F.expr("ilabel = 0")).alias("input_epsilons"), F.bool_or(F.expr("olabel = 0")).alias("output_epsilons"),
@@ -372,19 +405,10 @@ def properties(fst: Fst) -> DataFrame:
     na, nc = acc.groupBy("fst_id").agg(F.count("*").alias("n_acc")), coaccessible(fst).groupBy("fst_id").agg(F.count("*").alias("n_co"))
     at_start = comp.join(fst.starts, ["fst_id", "state"]).select("fst_id", "component")
     round_start = at_start.join(comp.groupBy("fst_id", "component").count().where("count > 1"), ["fst_id", "component"], "left_semi").select("fst_id").union(loops_of(fst, fst.starts)).distinct().withColumn("round_start", F.lit(True))
-    j = reach.join(round_start, "fst_id", "left").join(twins(fst), "fst_id", "left")
+    j = reach.join(round_start, "fst_id", "left")
     for t in (flags, degree("ilabel"), degree("olabel"), sort, fan, cyclic, na, nc):
         j = j.join(t, "fst_id", "left")
-    no, yes = F.lit(False), F.lit(True)
-    f = lambda c, d=no: F.coalesce(F.col(c), d)
-    is_acc, is_co = f("n_acc", F.lit(0)) == F.col("n_states"), f("n_co", F.lit(0)) == F.col("n_states")
-    return j.select(
-        "fst_id", "n_states", f("n_arcs", F.lit(0)).alias("n_arcs"), "n_finals", f("epsilons").alias("epsilons"), f("input_epsilons").alias("input_epsilons"), f("output_epsilons").alias("output_epsilons"),
-        f("acceptor", yes).alias("acceptor"), f("weighted").alias("weighted"), f("cyclic").alias("cyclic"), (~f("round_start")).alias("initial_acyclic"), (f("i_deterministic", yes) & ~f("input_epsilons") | ~f("twins")).alias("unambiguous"), is_acc.alias("accessible"), is_co.alias("coaccessible"), (is_acc & is_co).alias("connected"),
-        f("i_deterministic", yes).alias("input_deterministic"), f("o_deterministic", yes).alias("output_deterministic"), (f("i_deterministic", yes) & ~f("input_epsilons")).alias("functional"),
-        f("input_sorted", yes).alias("input_sorted"), f("output_sorted", yes).alias("output_sorted"), f("top_sorted", yes).alias("top_sorted"),
-        (f("single", yes) & (F.col("n_finals") == 1) & is_acc & ~f("cyclic")).alias("string"),
-    )
+    return j
 
 
 def loops_of(fst: Fst, states: DataFrame) -> DataFrame:
